@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import license_scan, quality_rules, sharding
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_license_scan": license_scan.op2_license_scan,
+        "op3_sharding": sharding.op3_sharding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE,
+        "op2_license_scan": license_scan.ORACLE,
     }
