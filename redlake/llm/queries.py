@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, quality_rules, sharding
+from . import byte_bpe, decontaminate, license_scan, line_spread, quality_rules, resampling, sharding, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,11 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_sharding": sharding.op3_sharding,
+        "op6_decontamination": decontaminate.op6_decontamination,
+        "op7_quality_resampling": resampling.op7_quality_resampling,
+        "op8_line_spread": line_spread.op8_line_spread,
+        "op9_simhash": simhash.op9_simhash,
+        "op10_byte_bpe": byte_bpe.op10_byte_bpe,
     }
 
 
@@ -17,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE,
         "op2_license_scan": license_scan.ORACLE,
+        "op8_line_spread": line_spread.ORACLE,
     }
