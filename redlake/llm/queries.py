@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, license_scan, line_spread, quality_rules, resampling, sharding, simhash, substrings
+from . import byte_bpe, chaining, decontaminate, license_scan, line_spread, quality_rules, resampling, sharding, simhash, substrings
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_license_scan": license_scan.op2_license_scan,
         "op3_sharding": sharding.op3_sharding,
         "op4_suffix_dedup": substrings.op4_suffix_dedup,
+        "op5_fuzzy_passages": chaining.op5_fuzzy_passages,
         "op6_decontamination": decontaminate.op6_decontamination,
         "op7_quality_resampling": resampling.op7_quality_resampling,
         "op8_line_spread": line_spread.op8_line_spread,
