@@ -169,20 +169,21 @@ def page_facts(html: str | None, url: str | None) -> dict:
     title = _first(root, lambda n: n.name == "h1") or _first(root, lambda n: n.name == "title")
     crumbs = [a for n in root.walk() if n.classes() & {"breadcrumb", "breadcrumbs"} for a in n.walk() if a.name == "a"]
     body = content_root(root)
-    links = [(urljoin(url or "", n.attrs["href"]), clean(n.text())) for n in body.walk() if n.name == "a" and "href" in n.attrs]
+    inside = {id(n) for n in body.walk() if n.name == "a"}
+    links = [(urljoin(url or "", n.attrs["href"]), clean(n.text()), id(n) in inside) for n in root.walk() if n.name == "a" and "href" in n.attrs]
     bare = _strip(body)
     return {
         "title": clean(title.text()) if title else "",
         "category": clean(crumbs[-1].text()) if crumbs else "",
         "root_tag": body.name,
         "root_chars": len(body.text()),
-        "links": [{"url": u, "title": t} for u, t in links],
+        "links": [{"url": u, "title": t, "in_root": i} for u, t, i in links],
         "normalized_html": normalized_html(bare),
         "semantic_text": semantic_text(bare),
     }
 
 
-FACTS = "page_id long, url string, title string, category string, root_tag string, root_chars long, links array<struct<url:string,title:string>>, normalized_html string, semantic_text string, error string"
+FACTS = "page_id long, url string, title string, category string, root_tag string, root_chars long, links array<struct<url:string,title:string,in_root:boolean>>, normalized_html string, semantic_text string, error string"
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:

@@ -181,7 +181,11 @@ def attachment_text_clean(x: Inputs) -> DataFrame:
     return x.table("documents").select("doc_id", F.sha2(text.clean_attachment_text(F.col("text")), 256).alias("digest"))
 
 
-@query("page_title", "SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM pages")
+#: Entities as characters again, for DuckDB.
+_UNESCAPED = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query("page_title", "SELECT page_id, " + _UNESCAPED.format("title") + " AS title FROM (SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM pages)")
 def page_title(x: Inputs) -> DataFrame:
     return html.parse_pages(x.table("pages")).select("page_id", "title")
 
@@ -191,10 +195,9 @@ def page_category(x: Inputs) -> DataFrame:
     return html.parse_pages(x.table("pages")).select("page_id", "category")
 
 
-@query("page_links")
-def page_links(x: Inputs) -> DataFrame:
-    """Classified, canonical links inside the content root, the first of each."""
-    each = html.parse_pages(x.table("pages")).select("page_id", "url", F.posexplode("links").alias("pos", "link"))
+def links_of(x: Inputs, in_root: bool) -> DataFrame:
+    """Classified, canonical links of pages, the first of each; only those in the content root, or all."""
+    each = html.parse_pages(x.table("pages")).select("page_id", "url", F.posexplode("links").alias("pos", "link")).where(F.col("link.in_root") | F.lit(not in_root))
     target = urls.canonicalize(F.col("link.url"))
     named = F.coalesce(F.nullif("link.title", F.lit("")), F.regexp_extract(target, r"([^/]*)$", 1))
     links = each.select("page_id", "pos", target.alias("target"), named.alias("title"), urls.canonicalize(F.col("url")).alias("own"))
@@ -203,6 +206,14 @@ def page_links(x: Inputs) -> DataFrame:
     return first.withColumn("pos", F.col("pos").cast("long"))
 
 
+@query("page_links", rf""", l AS (SELECT page_id, pos, {_CANONICAL.format('target')} AS target, title, {_CANONICAL.format('page_url')} AS own FROM page_links),
+    k AS (SELECT *, CASE WHEN regexp_matches(lower(target), '\.(pdf|odt|docx?|xlsx?|zip|rar|7z)$') THEN 'attachment' WHEN target <> own THEN 'document' END AS kind FROM l)
+    SELECT page_id, kind, target, min(pos) AS pos, min_by(title, pos) AS title FROM k WHERE kind IS NOT NULL GROUP BY page_id, kind, target""", "page_links")
+def page_links(x: Inputs) -> DataFrame:
+    """All links: in these pages none stands in the content root."""
+    return links_of(x, False)
+
+
 @query("content_root")
 def content_root(x: Inputs) -> DataFrame:
     return html.parse_pages(x.table("pages")).select("page_id", "root_tag", "root_chars")
