@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from redlake.functions.text import category_key, format_ts, html_escape, severity_icon
 
+from redlake.sources.tables import checked
+
 from . import events as ev
 from .versions import first_of
 
@@ -44,8 +46,8 @@ def approved(recipients: DataFrame) -> DataFrame:
 
 
 def fan_out(events: DataFrame, recipients: DataFrame) -> DataFrame:
-    """Each event for each recipient. Recipients are people who asked to be told: a small table, broadcast."""
-    return events.crossJoin(F.broadcast(recipients.select("user_id", "chat_id")))
+    """Each event for each recipient: the one product of two tables here, as the result is that product."""
+    return events.crossJoin(checked(recipients.select("user_id", "chat_id")))
 
 
 def undelivered(pairs: DataFrame, deliveries: DataFrame) -> DataFrame:
@@ -57,14 +59,14 @@ def muted(pairs: DataFrame, mutes: DataFrame, how: str = "left_semi") -> DataFra
     """Pairs whose event's category the recipient muted (left_semi), or the others (left_anti). No category: never muted."""
     m = mutes.select("user_id", F.col("category_key").alias("ck")).distinct()
     p = pairs.withColumn("ck", category_key(F.col("category")))
-    return p.join(F.broadcast(m), ["user_id", "ck"], how).drop("ck")
+    return p.join(checked(m), ["user_id", "ck"], how).drop("ck")
 
 
 def delivery_complete(deliveries: DataFrame, recipients: DataFrame) -> DataFrame:
     """Events in the ledger for every recipient."""
     chats = recipients.select("chat_id").distinct()
     n = chats.agg(F.count(F.lit(1)).alias("n"))
-    done = deliveries.join(F.broadcast(chats), "chat_id").groupBy("event_id").agg(F.countDistinct("chat_id").alias("k"))
+    done = deliveries.join(checked(chats), "chat_id").groupBy("event_id").agg(F.countDistinct("chat_id").alias("k"))
     return done.crossJoin(F.broadcast(n)).where("k = n").select("event_id")
 
 

@@ -10,6 +10,7 @@ from redlake.functions.text import category_key, category_token
 from redlake.operators import delivery, versions
 from redlake.operators import events as ev
 from redlake.operators.graph import bfs
+from redlake.sources.tables import checked
 
 from .base import Inputs, query
 
@@ -215,7 +216,7 @@ def frontier_antijoin(x: Inputs) -> DataFrame:
 def category_mute_flags(x: Inputs) -> DataFrame:
     c = x.documents_dim.where("category <> ''").select("category").distinct().withColumn("category_key", category_key(F.col("category")))
     m = x.mutes.withColumn("m", F.lit(True))
-    each = c.crossJoin(F.broadcast(x.recipients.select("user_id"))).join(F.broadcast(m), ["user_id", "category_key"], "left")
+    each = c.crossJoin(checked(x.recipients.select("user_id"))).join(checked(m), ["user_id", "category_key"], "left")
     return each.select("user_id", "category", category_token(F.col("category")).alias("token"), F.col("m").isNotNull().alias("muted"))
 
 

@@ -40,6 +40,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df for a join: broadcast if it has at most `most` rows, which is counted; a larger one is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def append_events(events: DataFrame, path: str, partition: str = "kind") -> None:
     """Append change rows, partitioned so that readers of a kind skip the others."""
     events.write.mode("append").partitionBy(partition).parquet(path)
