@@ -15,7 +15,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours linked to the smallest of it and them: those above it (large), or it and those below it."""
     if large:
         links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # Dealt out by m, the minima come to the join by a shuffle of their own, and a hub's links can be split there.
+    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
     met = links.join(least.hint("merge"), "a")
     if large:
         return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
