@@ -19,6 +19,29 @@ def _ranked(bwt: np.ndarray) -> np.ndarray:
     return order[np.count_nonzero(bwt == END) :]
 
 
+def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int = 16) -> np.ndarray:
+    """The least of values[lo..hi] of each pair lo <= hi: of the ends within their blocks, and of doubling ranges of whole blocks between."""
+    n = -(-len(values) // block)
+    blocks = np.full(n * block, 255, dtype=np.uint8)
+    blocks[: len(values)] = values
+    blocks = blocks.reshape(n, block)
+    p, q = lo // block, hi // block
+    at = np.arange(block)
+    low, high = at >= (lo % block)[:, None], at <= (hi % block)[:, None]
+    same = (p == q)[:, None]
+    left = np.where(low & (high | ~same), blocks[p], np.uint8(255))
+    right = np.where(high & (low | ~same), blocks[q], np.uint8(255))
+    out = np.minimum(left, right).min(axis=1)
+    between = q - p - 1
+    level, width = blocks.min(axis=1), 1
+    while width <= between.max(initial=0):
+        some = np.flatnonzero((between >= width) & (between < 2 * width))
+        out[some] = np.minimum(out[some], np.minimum(level[p[some] + 1], level[q[some] - width]))
+        level = np.minimum(level[:-width], level[width:])
+        width *= 2
+    return out
+
+
 def _shared(lcp: np.ndarray, bwt: np.ndarray, order: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     """Common prefix of new rows `at` and those before them: none, or one symbol and what their rests share."""
     out = np.zeros(len(at), dtype=np.uint8)
@@ -28,27 +51,25 @@ def _shared(lcp: np.ndarray, bwt: np.ndarray, order: np.ndarray, at: np.ndarray,
     same = bwt[a] == bwt[b]
     inner, a, b = inner[same], a[same], b[same]
     if len(inner):
-        bounds = np.stack([a + 1, b + 1], axis=1).ravel()
-        least = np.minimum.reduceat(np.append(lcp, np.uint8(0)), bounds)[::2]
-        out[inner] = np.minimum(least, 254) + 1
+        out[inner] = np.minimum(least_between(lcp, a + 1, b), 253) + 1
     return out
 
 
-def suffixes_shared(strings: list[bytes], depth: int) -> list[np.ndarray]:
-    """For each string, whether the suffix at each place shares its first `depth` symbols (at most 255) with another suffix.
+def suffixes_shared(strings: list[np.ndarray], depth: int) -> list[np.ndarray]:
+    """For each string, whether the suffix at each place shares its first `depth` symbols (at most 254) with another suffix.
 
-    Symbols are bytes; END stands below all of them, and a suffix ends with its string. One
-    entry per place at which `depth` symbols are left.
+    Symbols are numbers above END, in any order, and a suffix ends with its string. One entry
+    per place at which `depth` symbols are left. Up to 16 bits a symbol, sorting takes linear time.
     """
     m = len(strings)
     n = np.array([len(s) for s in strings], dtype=np.int64)
     longest = int(n.max(initial=0))
     if not m or longest < depth:
         return [np.zeros(max(0, x - depth + 1), dtype=bool) for x in n]
-    # Column j has symbol j from the end, END where a string has none. Byte 255 isn't in UTF-8, so symbols + 1 fit.
-    columns = np.zeros((longest + 1, m), dtype=np.uint8)
+    # Column j has symbol j from the end, END where a string has none.
+    columns = np.zeros((longest + 1, m), dtype=strings[0].dtype)
     for i, s in enumerate(strings):
-        columns[: len(s), i] = np.frombuffer(s, dtype=np.uint8)[::-1] + 1
+        columns[: len(s), i] = s[::-1]
     bwt, lcp = columns[0].copy(), np.zeros(m, dtype=np.uint8)
     live, row = np.arange(m), np.arange(m)  # each live string's latest suffix
     for j in range(1, longest + 1):
@@ -64,10 +85,10 @@ def suffixes_shared(strings: list[bytes], depth: int) -> list[np.ndarray]:
         live, new = live[by], new[by]
         size = len(bwt) + len(new)
         after = new + 1
-        shared, shared_after = _shared(lcp, bwt, order, new, m), _shared(lcp, bwt, order, after, m)
+        shared, shared_after = np.split(_shared(lcp, bwt, order, np.concatenate([new, after]), m), 2)
         old = np.ones(size, dtype=bool)
         old[new] = False
-        both = np.empty(size, dtype=np.uint8)
+        both = np.empty(size, dtype=bwt.dtype)
         both[old], both[new] = bwt, columns[j, live]
         next_lcp = np.empty(size, dtype=np.uint8)
         next_lcp[old] = lcp

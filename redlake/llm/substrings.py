@@ -4,8 +4,10 @@ Every window of DEPTH bytes has an anchor, its gram of least hash, leftmost of e
 equal windows have equal anchors at equal places. So texts are cut into pieces, a run of
 windows with one anchor each; only pieces whose anchor occurs again go on; equal pieces are
 counted, not compared; and the different pieces of an anchor make a collection of short
-strings, whose BWT and common prefixes are built column by column. A suffix that shares
-DEPTH bytes with another is a repeated window.
+strings, whose BWT and common prefixes are built column by column. A symbol is a block of
+BLOCK bytes, and a piece gives a string for each way to cut it into blocks, counted from its
+anchor: equal windows are cut alike. A suffix that shares DEPTH bytes with another is a
+repeated window.
 """
 
 from __future__ import annotations
@@ -24,15 +26,16 @@ from .common import small_batches, table, written
 
 DEPTH = 200
 GRAM = 32
+#: Bytes of a symbol; DEPTH is a multiple of it.
+BLOCK = 8
 #: Starts of windows handled at once; longer texts are taken in parts that overlap by a window.
 PART = (1 << 20) - 256
 #: Pieces whose BWT is built together, made of whole groups of an anchor.
-COLLECTION = 3000
+COLLECTION = 400
 #: An anchor with more different pieces than this has its windows counted one by one instead.
 LARGE_GROUP = 20_000
-#: What may be broadcast: numbers of anchors, and of ranges.
+#: Anchors are broadcast only if they are this few.
 BROADCAST_ANCHORS = 2_000_000
-BROADCAST_RANGES = 1_000_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 _LOW = np.uint64(0xFFFFF)
 
@@ -45,8 +48,8 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     return powers(_MULTIPLIER), powers(pow(_MULTIPLIER, -1, 1 << 64))
 
 
-def _part(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of bytes that hold at least one window: anchor hash, first start and number of starts of each piece."""
+def _part(x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of bytes that hold at least one window: anchor hash, first start, number of starts and anchor's place of each piece."""
     up, down = _powers()
     n = len(x)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
@@ -62,17 +65,17 @@ def _part(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     at = (np.minimum(behind[: m - width + 1], ahead[width - 1 : m]) & _LOW).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return h[at[first]].view(np.int64), first, np.diff(np.append(first, len(at)))
+    return h[at[first]].view(np.int64), first, np.diff(np.append(first, len(at))), at[first]
 
 
-def pieces(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first start and number of starts of each piece of a text; none if it has no window."""
+def pieces(text: bytes) -> tuple[np.ndarray, ...]:
+    """Anchor hash, first start, number of starts and anchor's place of each piece of a text; none if it has no window."""
     x, found = np.frombuffer(text, dtype=np.uint8), []
     for o in range(0, len(x) - DEPTH + 1, PART):
-        h, first, n = _part(x[o : o + PART + DEPTH - 1])
-        found.append((h, first + o, n))
+        h, first, n, at = _part(x[o : o + PART + DEPTH - 1])
+        found.append((h, first + o, n, at + o))
     if not found:
-        return tuple(np.zeros(0, dtype=np.int64) for _ in range(3))
+        return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
@@ -113,12 +116,12 @@ def _cut(with_bytes: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for digest, text, again in zip(b.column(0).to_pylist(), _utf8(b.column(1)), b.column(2), strict=True):
-                h, first, n = pieces(text)
+                h, first, n, at = pieces(text)
                 k = np.flatnonzero(np.isin(h, again.values.to_numpy(zero_copy_only=False)))
                 cut = [text[s : s + c - 1 + DEPTH] for s, c in zip(first[k].tolist(), n[k].tolist(), strict=True)]
                 names = pa.array([hashlib.md5(c).digest() for c in cut], pa.binary())
                 if with_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array(h[k]), names, pa.array(cut, pa.binary())], names=["anchor", "piece", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[k]), names, pa.array(at[k] - first[k]), pa.array(cut, pa.binary())], names=["anchor", "piece", "place", "bytes"])
                 else:
                     yield pa.RecordBatch.from_arrays([pa.array([digest] * len(k), pa.binary()), names, pa.array(first[k])], names=["digest", "piece", "at"])
 
@@ -134,11 +137,31 @@ def _runs(flags: np.ndarray) -> list[dict[str, int]]:
 _RANGES = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
 
 
+def _cut_alike(text: bytes, place: int) -> list[tuple[int, np.ndarray]]:
+    """A piece as strings of blocks, with the byte that each begins at: one for each cut, counted from the anchor."""
+    x = np.frombuffer(text, dtype=np.uint8)
+    starts = [(place - t) % BLOCK for t in range(BLOCK)]
+    return [(s, x[s : s + (len(x) - s) // BLOCK * BLOCK].view(f"<u{BLOCK}")) for s in starts]
+
+
+def repeated_starts(texts: list[bytes], places: list[int]) -> list[np.ndarray]:
+    """For each piece, whether the window at each of its starts stands elsewhere in a piece."""
+    strings = [c for t, p in zip(texts, places, strict=True) for c in _cut_alike(t, p)]
+    names = np.unique(np.concatenate([c for _, c in strings]), return_inverse=True)[1] + 1
+    names = names.astype(np.uint16 if names.max() < 1 << 16 else np.uint32)
+    ends = np.cumsum([len(c) for _, c in strings])
+    shared = suffixes_shared(np.split(names, ends[:-1]), DEPTH // BLOCK)
+    out = [np.zeros(len(t) - DEPTH + 1, dtype=bool) for t in texts]
+    for k, ((start, _), f) in enumerate(zip(strings, shared, strict=True)):
+        out[k // BLOCK][start : start + len(f) * BLOCK : BLOCK] = f
+    return out
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, piece, bytes, n) in the order of anchors -> (piece, ranges of starts that occur again)."""
+    """Rows (anchor, piece, place, bytes, n) in the order of anchors -> (piece, ranges of starts that occur again)."""
 
     def done(rows: list[dict]) -> pa.RecordBatch:
-        found = suffixes_shared([r["bytes"] for r in rows], DEPTH)
+        found = repeated_starts([r["bytes"] for r in rows], [r["place"] for r in rows])
         for r, f in zip(rows, found, strict=True):
             if r["n"] > 1:
                 f[:] = True
@@ -195,11 +218,11 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", large_group: int =
     found = texts.mapInArrow(lambda b: _joined(_anchors(b)), "digest binary, anchor long").join(_hinted(again, again.count(), BROADCAST_ANCHORS), "anchor")
     of_text = found.groupBy("digest").agg(F.collect_set("anchor").alias("anchors"))
     cut = _zipped(texts.join(of_text.hint("merge"), "digest"), "texts")
-    whole = cut.mapInArrow(_cut(True), "anchor long, piece binary, bytes binary")
-    different = _zipped(whole.groupBy("anchor", "piece").agg(F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")), "pieces")
+    whole = cut.mapInArrow(_cut(True), "anchor long, piece binary, place long, bytes binary")
+    different = _zipped(whole.groupBy("anchor", "piece", "place").agg(F.first("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")), "pieces")
     large = written(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > large_group).select("anchor"), "large")
     hint = lambda: _hinted(large, large.count(), BROADCAST_ANCHORS)
-    usual = different.join(hint(), "anchor", "left_anti").select("anchor", "piece", "bytes", "n")
+    usual = different.join(hint(), "anchor", "left_anti").select("anchor", "piece", "place", "bytes", "n")
     marks = usual.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_compare, "piece binary, ranges array<struct<a:long,b:long>>")
     if large.count():
         each = different.join(hint(), "anchor", "left_semi").select("piece", "bytes", "n").mapInArrow(_window_digests, "piece binary, at long, window binary, n long")
@@ -249,11 +272,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other columns are not read. Removal may split a character: kept is binary.
     """
     ranges = repeated_ranges(docs, text_col, large_group)
-    size = ranges.agg(F.coalesce(F.sum(F.size("ranges")), F.lit(0))).first()[0]
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
     kind = d.schema["doc_id"].dataType.simpleString()
-    found = d.join(_hinted(ranges, size, BROADCAST_RANGES), "digest", "left").select("doc_id", "text", "ranges")
+    found = d.join(ranges.hint("merge"), "digest", "left").select("doc_id", "text", "ranges")
     return found.mapInArrow(_strip, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

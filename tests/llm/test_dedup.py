@@ -107,7 +107,8 @@ def test_shared_suffixes(seed):
     strings += strings[: rng.randint(0, 1)]
     many = Counter(s[i : i + depth] for s in strings for i in range(len(s) - depth + 1))
     want = [[many[s[i : i + depth]] > 1 for i in range(len(s) - depth + 1)] for s in strings]
-    assert [x.tolist() for x in suffixes_shared(strings, depth)] == want
+    symbols = [np.frombuffer(s, dtype=np.uint8).astype(np.uint16) + np.uint16(1) for s in strings]
+    assert [x.tolist() for x in suffixes_shared(symbols, depth)] == want
 
 
 def brute_removal(rows):
@@ -146,7 +147,7 @@ def test_pieces_do_not_depend_on_parts(monkeypatch):
     rng = random.Random(4)
     text = (sentence(rng, 900) + " z" * 500 + sentence(rng, 300)).encode()
     whole = substrings.pieces(text)
-    starts = lambda p: {s + k: h for h, f, n in zip(*p, strict=True) for s in [f] for k in range(n)}
+    starts = lambda p: {s + k: h for h, s, n, _ in zip(*p, strict=True) for k in range(n)}
     monkeypatch.setattr(substrings, "PART", 333)
     assert starts(whole) == starts(substrings.pieces(text))
     assert sorted(starts(whole)) == list(range(len(text) - 199))
