@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redlake.functions.text import category_key, format_ts, html_escape, severity_icon
-
 from redlake.sources.tables import checked
 
 from . import events as ev
