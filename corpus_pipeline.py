@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from redlake.llm import byte_bpe, decontaminate, line_spread, resampling, simhash
+from redlake.llm import byte_bpe, decontaminate, line_spread, near_texts, resampling
 from redlake.llm.common import table, written
 
 
@@ -30,10 +30,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id, nulls last."""
+    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8): that with the smallest doc_id, nulls last."""
     own = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"))
     rows = written(docs.withColumn("__own", own), "rows")
-    groups = simhash.near_duplicates(rows, "__own")
+    groups = near_texts.near_duplicates(rows, "__own")
     first = groups.where("doc_id.row = component_id.row").select(F.col("doc_id.row").alias("__row"))
     return rows.withColumn("__row", F.col("__own.row")).join(first.hint("merge"), "__row", "left_semi").select(docs.columns)
 
