@@ -3,8 +3,10 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline
-from redlake.llm import near_texts
+from redlake.llm import chaining, near_texts
 from redlake.llm.common import written
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -40,3 +42,24 @@ def test_pipeline_drops_near_copies(spark):
     docs = written(spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS), "test")
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
     assert kept == {i for i, r in enumerate(root) if r == i}
+
+
+def test_passages_with_a_change_every_few_words_are_found(docs):
+    rng = random.Random(32)
+    rows = []
+    for i, every in enumerate((5, 6, 8, 10) * 5):
+        passage = words(rng, 50)
+        other = changed(rng, passage, range(every // 2, 50, every))
+        rows += [(2 * i, " ".join(words(rng, 40) + passage + words(rng, 40))), (2 * i + 1, " ".join(words(rng, 40) + other + words(rng, 40)))]
+    found = {(r.doc_id, r.other_id) for r in chaining.repeated_passages(docs(rows)).collect()}
+    assert {(i, i ^ 1) for i, _ in rows} <= found
+
+
+def test_long_extension_is_not_cut(docs, monkeypatch):
+    monkeypatch.setattr(chaining, "MARGIN", 3)
+    rng = random.Random(34)
+    a = words(rng, 300)
+    cut = (True, True)
+    assert chaining.align(a, a, [150], [150]) == (0, 300, 0, 300, 300)
+    with pytest.raises(chaining._Cut):
+        chaining.align(a[100:200], a, [50], [150], cut)
