@@ -55,6 +55,19 @@ def test_passages_with_a_change_every_few_words_are_found(docs):
     assert {(i, i ^ 1) for i, _ in rows} <= found
 
 
+def test_passages_whose_parts_stand_elsewhere_are_found(docs):
+    """Whatever the order of the texts' hashes: each of many such groups of four."""
+    rng = random.Random(33)
+    rows, want = [], set()
+    for i in range(0, 80, 4):
+        passage = words(rng, 60)
+        middle = [passage[:30], passage, passage, passage[30:]]
+        rows += [(i + k, " ".join(words(rng, 40) + m + words(rng, 40))) for k, m in enumerate(middle)]
+        want |= {(i + 1, i + 2), (i + 2, i + 1)}
+    found = {(r.doc_id, r.other_id) for r in chaining.repeated_passages(docs(rows)).collect()}
+    assert found == want
+
+
 def test_long_extension_is_not_cut(docs, monkeypatch):
     monkeypatch.setattr(chaining, "MARGIN", 3)
     rng = random.Random(34)
