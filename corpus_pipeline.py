@@ -22,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without cross-site boilerplate lines; n_chars follows. No document goes."""
-    found = line_spread.remove_boilerplate(docs)
+    """Documents without cross-site boilerplate lines, whole blocks of them too; n_chars follows. No document goes."""
+    found = line_spread.remove_boilerplate(docs, blocks=True)
     changed = F.col("__n_removed") > 0
     columns = {"text": F.col("__clean").alias("text"), "n_chars": F.when(changed, F.length("__clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
     return found.select(*[columns.get(c, F.col(c)) for c in docs.columns])

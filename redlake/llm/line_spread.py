@@ -8,7 +8,7 @@ on many sites too, but always between the same lines, and are not boilerplate.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import GAP_CHARS, table, written
@@ -43,8 +43,28 @@ def lines_of(docs: DataFrame, site_col: str = "source", text_col: str = "text")
     return d.select("site", F.explode(each).alias("x")).select("x.h", "site", "x.before", "x.after")
 
 
-def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, min_neighbours: int = MIN_NEIGHBOURS) -> DataFrame:
-    """(h, n_sites, n_neighbours) of the lines to remove: n_sites exact near the threshold, else estimated."""
+def outer_pairs(docs: DataFrame, spread: DataFrame, text_col: str = "text") -> DataFrame:
+    """(h, before, after), each once: for each line of `spread` (h, written) its nearest neighbours that aren't in it."""
+    keys = F.filter(F.transform(F.split(F.col(text_col), "\n"), _key), lambda k: k.isNotNull())
+    d = docs.where(F.col(text_col).isNotNull()).select(F.md5(F.col(text_col).cast("binary")).alias("digest"), keys.alias("keys"))
+    each = d.select("digest", F.explode(F.array_distinct("keys")).alias("h"))
+    of_text = each.join(_hinted(spread.select("h")), "h").groupBy("digest").agg(F.collect_set("h").alias("bad"))
+    texts = d.join(of_text.hint("merge"), "digest").dropDuplicates(["digest"])
+    line = texts.select("digest", "bad", F.posexplode("keys").alias("pos", "h")).withColumn("in", F.array_contains("bad", F.col("h")))
+    other = F.when(~F.col("in"), F.col("h"))
+    # Only the lines of one text meet in a window; two orders, as a frame that ends at the last row is read anew for each.
+    up = Window.partitionBy("digest").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("digest").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    met = line.withColumn("before", F.last(other, True).over(up)).withColumn("after", F.last(other, True).over(down))
+    return met.where("in").select("h", "before", "after").distinct()
+
+
+def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, min_neighbours: int = MIN_NEIGHBOURS, blocks: bool = False) -> DataFrame:
+    """(h, n_sites, n_neighbours) of the lines to remove: n_sites exact near the threshold, else estimated.
+
+    With blocks, a line also goes for the pairs of neighbours around the run of lines on
+    enough sites that it stands in, so that all lines of a block go and not just its ends.
+    """
     lines = lines_of(docs, site_col, text_col)
     spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_LOG_K)).alias("sites"))
     candidates = written(spread.where(F.col("sites") >= min_sites * (1 - NEAR)), "lines")
@@ -55,7 +75,12 @@ def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str =
     n_near = met.groupBy("h", "before", "after").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n_neighbours"))
     counted = sure.join(n_sites.hint("merge"), "h", "left").join(n_near.hint("merge"), "h")
     found = counted.select("h", F.when(F.col("sure"), F.col("sites")).otherwise(F.coalesce("exact", F.lit(0))).alias("n_sites"), "n_neighbours")
-    return written(found.where((F.col("n_sites") >= min_sites) & (F.col("n_neighbours") >= min_neighbours)), "lines")
+    found = found.where(F.col("n_sites") >= min_sites)
+    if blocks:
+        found = written(found, "lines")
+        around = outer_pairs(docs, found, text_col).groupBy("h").agg(F.count(F.lit(1)).alias("around"))
+        found = found.join(around.hint("merge"), "h", "left").select("h", "n_sites", F.greatest("n_neighbours", F.coalesce("around", F.lit(0))).alias("n_neighbours"))
+    return written(found.where(F.col("n_neighbours") >= min_neighbours), "lines")
 
 
 def strip_lines(docs: DataFrame, bad: DataFrame, text_col: str = "text") -> DataFrame:
@@ -79,13 +104,13 @@ def strip_lines(docs: DataFrame, bad: DataFrame, text_col: str = "text") -> Data
     )
 
 
-def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, min_neighbours: int = MIN_NEIGHBOURS) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, min_neighbours: int = MIN_NEIGHBOURS, blocks: bool = False) -> DataFrame:
     """docs with __clean, __n_lines, __n_removed; one row per input row.
 
     A null text has no lines and stays null; an empty one stays empty; blank lines are never
     removed. Equal rows get equal results. All columns are passed on.
     """
-    return strip_lines(docs, boilerplate_lines(docs, site_col, text_col, min_sites, min_neighbours), text_col)
+    return strip_lines(docs, boilerplate_lines(docs, site_col, text_col, min_sites, min_neighbours, blocks), text_col)
 
 
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:

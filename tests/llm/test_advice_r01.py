@@ -76,3 +76,13 @@ def test_long_extension_is_not_cut(docs, monkeypatch):
     assert chaining.align(a, a, [150], [150]) == (0, 300, 0, 300, 300)
     with pytest.raises(chaining._Cut):
         chaining.align(a[100:200], a, [50], [150], cut)
+
+
+def test_pipeline_removes_whole_blocks(spark):
+    rng = random.Random(35)
+    block, copy = [" ".join(words(rng, 5)) for _ in range(5)], [" ".join(words(rng, 6)) for _ in range(4)]
+    rows = [(i, "\n".join([" ".join(words(rng, 8)), *block, " ".join(words(rng, 8))]), "en", f"s{i % 12}", 0) for i in range(24)]
+    rows += [(100 + i, "\n".join(copy), "en", f"s{i % 12}", 0) for i in range(24)]
+    out = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
+    assert all(len(out[i]) == 2 and not set(out[i]) & set(block) for i in range(24))
+    assert all(out[100 + i] == copy for i in range(24))
