@@ -7,7 +7,7 @@ exact copy from a question asked again with other parameters, and both from chan
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bind, table, written
@@ -17,6 +17,8 @@ WINDOW = 8
 MIN_PLAIN = 4
 #: A document is contaminated by an item if it has this share of the item's windows.
 MIN_COVERAGE = 0.3
+#: Matched windows this far apart in a document belong to different occurrences of an item.
+RUN_GAP = 2 * WINDOW
 #: Windows of a benchmark are broadcast only if they are this few.
 BROADCAST_WINDOWS = 500_000
 # Placeholders, and what becomes one. Fixed values.
@@ -66,12 +68,20 @@ def windows(df: DataFrame, key: list[str], text: Column, width: int = WINDOW) ->
 
 
 def benchmark_windows(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
-    """(item_id, h, item_slots, n_windows): one row for each different window of an item that says enough."""
-    w = windows(benchmark, ["item_id"], F.col("text"), width)
+    """(item_id, h, at, item_slots, width, n_windows, least): one row for each place of a window of an item that says enough.
+
+    width is the number of the window's words, fewer than `width` in a short item; least marks
+    one place of each different window, the one with the smallest slots.
+    """
+    b = benchmark.select("item_id", "text", F.size(_words(_raw(F.coalesce("text", F.lit(""))))).alias("n_words"))
+    w = windows(b, ["item_id", "n_words"], F.col("text"), width)
     template = F.split(F.element_at(F.split("slots", "\n"), 1), " ")
-    plain = F.when(F.col("slots").isNull(), F.lit(width)).otherwise(F.size(F.filter(template, lambda x: ~x.isin(NUMBER, NAME, UNIT))))
-    told = w.where(plain >= MIN_PLAIN).groupBy("item_id", "h").agg(F.min("slots").alias("item_slots"))
-    return told.join(told.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows")).hint("merge"), "item_id")
+    size = F.least(F.lit(width), F.col("n_words"))
+    plain = F.when(F.col("slots").isNull(), size).otherwise(F.size(F.filter(template, lambda x: ~x.isin(NUMBER, NAME, UNIT))))
+    told = w.where(plain >= MIN_PLAIN).select("item_id", "h", F.col("pos").alias("at"), F.col("slots").alias("item_slots"), size.alias("width"))
+    first = F.row_number().over(Window.partitionBy("item_id", "h").orderBy(F.col("item_slots").asc_nulls_last(), "at"))
+    counts = told.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
+    return told.withColumn("least", first == 1).join(counts.hint("merge"), "item_id")
 
 
 def _slot_pairs(item: Column, doc: Column) -> Column:
@@ -85,22 +95,40 @@ def contaminated_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "t
     """(digest, item_id, n_matched, n_windows, n_slots, n_changed, kind) of each text and item with enough windows in common.
 
     kind: exact (all slots as in the item), parameters (each value of a slot replaced by one
-    value throughout) or inconsistent (not a copy: the item is not counted as leaked).
+    value throughout) or inconsistent (not a copy: the item is not counted as leaked). It is
+    that of the whole document unless inconsistent, else that of the best
+    occurrence with enough windows: a run of windows near each other, or those at one
+    distance from their places in the item. So several versions don't hide each other.
     """
     d = docs.select(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("digest"), F.col(text_col).alias("text"))
     items = written(benchmark_windows(benchmark), "benchmark")
     few = items.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    hits = windows(d, ["digest"], F.col("text")).join(F.broadcast(items) if few else items.hint("merge"), "h")
-    pairs = hits.select("digest", "item_id", "h", "n_windows", _slot_pairs(F.col("item_slots"), F.col("slots")).alias("pairs"))
+    # Documents have windows of WINDOW words, and of the fewer words of short items: at most WINDOW - MIN_PLAIN other lengths.
+    short = [r.width for r in items.where(F.col("width") < WINDOW).select("width").distinct().collect()]
+    cuts = windows(d, ["digest"], F.col("text"))
+    for width in sorted(short):
+        cuts = cuts.union(windows(d, ["digest"], F.col("text"), width))
+    hits = cuts.join(F.broadcast(items) if few else items.hint("merge"), "h")
+    key = ["digest", "item_id", "n_windows"]
+    pairs = hits.select(*key, "h", "pos", "at", "least", _slot_pairs(F.col("item_slots"), F.col("slots")).alias("pairs")).distinct()
+    order = Window.partitionBy(*key).orderBy("pos")
+    apart = F.col("pos") - F.lag("pos").over(order) > RUN_GAP
+    runs = pairs.withColumn("apart", F.coalesce(apart, F.lit(False)).cast("long")).withColumn("run", F.sum("apart").over(order))
+    whole, run, line = (F.struct(F.lit(n).alias("of"), c.cast("long").alias("id")) for n, c in enumerate([F.lit(0), F.col("run"), F.col("pos") - F.col("at")]))
+    parts = runs.withColumn("part", F.explode(F.when(F.col("least"), F.array(whole, run, line)).otherwise(F.array(line))))
     # An item's windows bound each group; copies of a text add nothing to its sets.
-    by_pair = pairs.groupBy("digest", "item_id", "n_windows").agg(F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
-    out = by_pair.select(
-        "digest", "item_id", F.size("hs").cast("long").alias("n_matched"), "n_windows", F.size("slots").cast("long").alias("n_slots"),
+    by_part = parts.groupBy(*key, "part").agg(F.collect_set("h").alias("hs"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
+    out = by_part.select(
+        *key, "part", F.size("hs").cast("long").alias("n_matched"), F.size("slots").cast("long").alias("n_slots"),
         F.size(F.filter("slots", lambda x: x["a"] != x["b"])).cast("long").alias("n_changed"),
         F.size(F.array_distinct(F.transform("slots", lambda x: x["a"]))).alias("n_values"),
     )
-    kind = F.when(F.col("n_changed") == 0, "exact").when(F.col("n_slots") == F.col("n_values"), "parameters").otherwise("inconsistent")
-    return out.where(F.col("n_matched") >= MIN_COVERAGE * F.col("n_windows")).withColumn("kind", kind).drop("n_values")
+    rank = F.when(F.col("n_changed") == 0, 0).when(F.col("n_slots") == F.col("n_values"), 1).otherwise(2)
+    enough = out.where(F.col("n_matched") >= MIN_COVERAGE * F.col("n_windows")).withColumn("rank", rank)
+    told = F.struct((F.col("rank") == 2).alias("worse"), (F.col("part.of") > 0).alias("part"), "rank", (-F.col("n_matched")).alias("less"), "n_matched", "n_slots", "n_changed")
+    best = enough.groupBy(*key).agg(F.min(told).alias("m"))
+    kind = F.when(F.col("m.rank") == 0, "exact").when(F.col("m.rank") == 1, "parameters").otherwise("inconsistent")
+    return best.select("digest", "item_id", "m.n_matched", "n_windows", "m.n_slots", "m.n_changed", kind.alias("kind"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from redlake.llm import chaining, near_texts
+from redlake.llm import chaining, decontaminate, near_texts
 from redlake.llm.common import written
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -86,3 +86,23 @@ def test_pipeline_removes_whole_blocks(spark):
     out = {r.doc_id: r.text.split("\n") for r in corpus_pipeline.lines(spark, spark.createDataFrame(rows, COLUMNS), "").collect()}
     assert all(len(out[i]) == 2 and not set(out[i]) & set(block) for i in range(24))
     assert all(out[100 + i] == copy for i in range(24))
+
+
+QUESTION = "A train leaves Boston at 9 and travels 120 km to the city of Springfield before it turns around and travels the same 120 km back again to the station"
+
+
+def test_versions_of_an_item_do_not_hide_each_other(spark):
+    rng = random.Random(36)
+    filler = lambda n: " ".join(words(rng, n))
+    changed_one = QUESTION.replace("120", "75")
+    mixed = QUESTION.replace("120", "75", 1)
+    short = "why do green herons sleep"
+    texts = {
+        1: f"{filler(40)} {QUESTION} {filler(40)} {changed_one} {filler(9)}", 2: f"{changed_one} {QUESTION.replace('120', '60')}",
+        3: f"{filler(9)} {mixed} {filler(9)}", 4: f"{filler(30)} {short} {filler(30)}", 5: filler(90),
+    }
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    b = spark.createDataFrame([(7, QUESTION), (8, short), (9, "too short")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(d, b).where("kind <> 'inconsistent'").collect()}
+    assert got == {(1, 7, "exact"), (2, 7, "parameters"), (4, 8, "exact")}
+    assert {r.doc_id for r in decontaminate.clean_documents(d, b).collect()} == {3, 5}
