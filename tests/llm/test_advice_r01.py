@@ -6,7 +6,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from redlake.llm import chaining, decontaminate, near_texts
+from redlake.llm import chaining, decontaminate, near_texts, resampling
 from redlake.llm.common import written
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -106,3 +106,8 @@ def test_versions_of_an_item_do_not_hide_each_other(spark):
     got = {(r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(d, b).where("kind <> 'inconsistent'").collect()}
     assert got == {(1, 7, "exact"), (2, 7, "parameters"), (4, 8, "exact")}
     assert {r.doc_id for r in decontaminate.clean_documents(d, b).collect()} == {3, 5}
+
+
+def test_toxic_rows_are_no_target(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 1), (3, 0, 0), (4, 1, None), (5, 1, 0), (5, 1, 1)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id for r in resampling.target_ids(labels).collect()} == {1, 4}
