@@ -4,10 +4,14 @@ All strings are read from their ends, one symbol of each a round. The suffixes f
 stand in order; BWT and LCP are two sequences over that order. A round finds, for each
 string, where its next longer suffix belongs (its symbol's rank in the BWT, below the
 string's last place), and copies both sequences once, in order, with the new entries put in.
+With a folder, the sequences stand in files there between rounds: a round reads those of the
+last one from end to end and writes its own.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 END = 0
@@ -55,7 +59,35 @@ def _shared(lcp: np.ndarray, bwt: np.ndarray, order: np.ndarray, at: np.ndarray,
     return out
 
 
-def suffixes_shared(strings: list[np.ndarray], depth: int) -> list[np.ndarray]:
+class _Sequences:
+    """BWT and LCP as they stand after a round: two files that the next round reads, or two arrays."""
+
+    def __init__(self, bwt: np.ndarray, lcp: np.ndarray, folder: str | None):
+        self.folder, self.types, self.round = folder, (bwt.dtype, lcp.dtype), 0
+        self.put(bwt, lcp)
+
+    def _names(self, number: int) -> list[str]:
+        return [os.path.join(self.folder, f"{kind}-{number}") for kind in ("bwt", "lcp")]
+
+    def put(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
+        self.held = (bwt, lcp)
+        if self.folder:
+            self.drop()
+            self.round += 1
+            self.held = None
+            for name, x in zip(self._names(self.round), (bwt, lcp), strict=True):
+                x.tofile(name)
+
+    def get(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.held or tuple(np.fromfile(name, dtype=t) for name, t in zip(self._names(self.round), self.types, strict=True))
+
+    def drop(self) -> None:
+        if self.folder and self.round:
+            for name in self._names(self.round):
+                os.remove(name)
+
+
+def suffixes_shared(strings: list[np.ndarray], depth: int, folder: str | None = None) -> list[np.ndarray]:
     """For each string, whether the suffix at each place shares its first `depth` symbols (at most 254) with another suffix.
 
     Symbols are numbers above END, in any order, and a suffix ends with its string. One entry
@@ -70,9 +102,10 @@ def suffixes_shared(strings: list[np.ndarray], depth: int) -> list[np.ndarray]:
     columns = np.zeros((longest + 1, m), dtype=strings[0].dtype)
     for i, s in enumerate(strings):
         columns[: len(s), i] = s[::-1]
-    bwt, lcp = columns[0].copy(), np.zeros(m, dtype=np.uint8)
+    kept = _Sequences(columns[0].copy(), np.zeros(m, dtype=np.uint8), folder)
     live, row = np.arange(m), np.arange(m)  # each live string's latest suffix
     for j in range(1, longest + 1):
+        bwt, lcp = kept.get()
         going = bwt[row] != END
         live, row = live[going], row[going]
         if not len(live):
@@ -95,7 +128,10 @@ def suffixes_shared(strings: list[np.ndarray], depth: int) -> list[np.ndarray]:
         inside = after < size
         next_lcp[after[inside]] = shared_after[inside]
         next_lcp[new] = shared
-        bwt, lcp, row = both, next_lcp, new
+        kept.put(both, next_lcp)
+        row = new
+    bwt, lcp = kept.get()
+    kept.drop()
     # From the empty suffixes, each step along the BWT leads to the suffix longer by one.
     deep = np.append(lcp >= depth, False)
     deep = deep[:-1] | deep[1:]

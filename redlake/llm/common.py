@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +29,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, zstd: bool = False) -> DataFrame:
     """df, written to the shared folder and read back: lineage is cut, sizes are known,
     and the rows stay the same however often they are read or executors are lost."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/redlake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd" if zstd else None)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hinted(df: DataFrame, most: int) -> DataFrame:
+    """df (written) for a join: broadcast if it has at most `most` rows, else merged."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+
+
+def sliced(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most `rows`, as texts may be long."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
