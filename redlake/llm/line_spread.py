@@ -1,99 +1,85 @@
 """Cross-site boilerplate lines by their distinct-site spread.
 
-Each line's sites go into a HyperLogLog sketch; sketches of a line merge in its aggregation.
-Lines whose estimate is near the threshold get exact counts. A line is boilerplate if it is
-on enough sites and among enough different neighbours: copies of one text repeat its lines
-on many sites too, but always between the same lines, and are not boilerplate.
+Each line's sites go into a HyperLogLog sketch; sketches of a line merge in its aggregation,
+and lines whose estimate is near the threshold get exact counts. Copied documents repeat
+their lines on many sites too. So the lines on enough sites are counted again, in the same
+way, over the texts that host them: equal texts count once, and a text that consists of
+such lines for the most part is a copy and no host.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GAP_CHARS, table, written
+from .common import GAP_CHARS, hinted, table, written
 
-#: Sites, and pairs of neighbours, from which a line is boilerplate.
+#: Sites from which a line is boilerplate.
 MIN_SITES = 10
-MIN_NEIGHBOURS = 10
+#: A text of which this share, in characters of lines, is spread lines is no host: as a fraction.
+COPIED = (2, 3)
 #: log2 of a sketch's buckets: a standard error of 1.6 %; up to some hundred sites it is exact.
 SKETCH_LOG_K = 12
 #: An estimate this far from MIN_SITES, either way, is near it: six standard errors.
 NEAR = 0.1
-#: Lines are broadcast only if they are this few; more are joined by a shuffle.
+#: Lines and texts are broadcast only if they are this few; more are joined by a shuffle.
 BROADCAST_LINES = 200_000
 
 
+def _inner(line: Column) -> Column:
+    return F.btrim(line, F.lit(GAP_CHARS))
+
+
 def _key(line: Column) -> Column:
     """A line's hash without white space at its ends; null for a blank line."""
-    inner = F.btrim(line, F.lit(GAP_CHARS))
-    return F.when(inner != "", F.xxhash64(inner))
+    return F.when(_inner(line) != "", F.xxhash64(_inner(line)))
 
 
-def _hinted(df: DataFrame, most: int = BROADCAST_LINES) -> DataFrame:
-    """df (written) for a join: broadcast if it has at most `most` rows, else merged."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
+def _digest(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
 
 
-def lines_of(docs: DataFrame, site_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(h, site, before, after) for each line with a word; a null site is a site of its own."""
-    keys = F.filter(F.transform(F.split(F.col(text_col), "\n"), _key), lambda k: k.isNotNull())
-    d = docs.select(F.coalesce(F.xxhash64(F.col(site_col)), F.lit(0)).alias("site"), keys.alias("keys"))
-    each = F.transform("keys", lambda k, i: F.struct(k.alias("h"), F.get("keys", i - 1).alias("before"), F.get("keys", i + 1).alias("after")))
-    return d.select("site", F.explode(each).alias("x")).select("x.h", "site", "x.before", "x.after")
+def spread_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+    """(h, n_sites), written, of the lines (h, site) on enough sites: exact near the threshold, else estimated."""
+    spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_LOG_K)).alias("n_sites"))
+    some = written(spread.where(F.col("n_sites") >= min_sites * (1 - NEAR)), "lines")
+    sure, near = some.where(F.col("n_sites") > min_sites * (1 + NEAR)), some.where(F.col("n_sites") <= min_sites * (1 + NEAR)).select("h")
+    # Two partial counts, so that a line's rows meet as its sites only.
+    exact = lines.join(hinted(near, BROADCAST_LINES), "h").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n_sites"))
+    return written(sure.union(exact.where(F.col("n_sites") >= min_sites)), "spread")
 
 
-def outer_pairs(docs: DataFrame, spread: DataFrame, text_col: str = "text") -> DataFrame:
-    """(h, before, after), each once: for each line of `spread` (h, written) its nearest neighbours that aren't in it."""
-    keys = F.filter(F.transform(F.split(F.col(text_col), "\n"), _key), lambda k: k.isNotNull())
-    d = docs.where(F.col(text_col).isNotNull()).select(F.md5(F.col(text_col).cast("binary")).alias("digest"), keys.alias("keys"))
-    each = d.select("digest", F.explode(F.array_distinct("keys")).alias("h"))
-    of_text = each.join(_hinted(spread.select("h")), "h").groupBy("digest").agg(F.collect_set("h").alias("bad"))
-    texts = d.join(of_text.hint("merge"), "digest").dropDuplicates(["digest"])
-    line = texts.select("digest", "bad", F.posexplode("keys").alias("pos", "h")).withColumn("in", F.array_contains("bad", F.col("h")))
-    other = F.when(~F.col("in"), F.col("h"))
-    # Only the lines of one text meet in a window; two orders, as a frame that ends at the last row is read anew for each.
-    up = Window.partitionBy("digest").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("digest").orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    met = line.withColumn("before", F.last(other, True).over(up)).withColumn("after", F.last(other, True).over(down))
-    return met.where("in").select("h", "before", "after").distinct()
+def lines_of_texts(docs: DataFrame, spread: DataFrame, text_col: str = "text") -> DataFrame:
+    """(digest, hs, n), written: by a text's MD5 the lines of `spread` in it, and their characters in all its copies."""
+    each = F.transform(F.split(F.col(text_col), "\n"), lambda x: F.struct(_key(x).alias("h"), F.length(_inner(x)).cast("long").alias("n")))
+    lines = docs.select(_digest(F.col(text_col)).alias("digest"), F.explode(each).alias("x")).select("digest", "x.h", "x.n").where("h is not null")
+    return written(lines.join(hinted(spread.select("h"), BROADCAST_LINES), "h").groupBy("digest").agg(F.collect_set("h").alias("hs"), F.sum("n").alias("n")), "lines-of-texts")
 
 
-def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, min_neighbours: int = MIN_NEIGHBOURS, blocks: bool = False) -> DataFrame:
-    """(h, n_sites, n_neighbours) of the lines to remove: n_sites exact near the threshold, else estimated.
+def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
+    """(h, n_sites) of the lines to remove, sites counted over hosts; and (digest, hs, n) of the texts with lines on enough sites.
 
-    With blocks, a line also goes for the pairs of neighbours around the run of lines on
-    enough sites that it stands in, so that all lines of a block go and not just its ends.
+    A null site is a site of its own; of a text's sites the smallest counts.
     """
-    lines = lines_of(docs, site_col, text_col)
-    spread = lines.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", SKETCH_LOG_K)).alias("sites"))
-    candidates = written(spread.where(F.col("sites") >= min_sites * (1 - NEAR)), "lines")
-    sure = candidates.select("h", "sites", (F.col("sites") > min_sites * (1 + NEAR)).alias("sure"))
-    met = lines.join(_hinted(sure), "h")
-    # Two exact counts: of (line, site) only for lines near the threshold, of (line, neighbours) for all candidates.
-    n_sites = met.where("not sure").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("exact"))
-    n_near = met.groupBy("h", "before", "after").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("n_neighbours"))
-    counted = sure.join(n_sites.hint("merge"), "h", "left").join(n_near.hint("merge"), "h")
-    found = counted.select("h", F.when(F.col("sure"), F.col("sites")).otherwise(F.coalesce("exact", F.lit(0))).alias("n_sites"), "n_neighbours")
-    found = found.where(F.col("n_sites") >= min_sites)
-    if blocks:
-        found = written(found, "lines")
-        around = outer_pairs(docs, found, text_col).groupBy("h").agg(F.count(F.lit(1)).alias("around"))
-        found = found.join(around.hint("merge"), "h", "left").select("h", "n_sites", F.greatest("n_neighbours", F.coalesce("around", F.lit(0))).alias("n_neighbours"))
-    return written(found.where(F.col("n_neighbours") >= min_neighbours), "lines")
-
-
-def strip_lines(docs: DataFrame, bad: DataFrame, text_col: str = "text") -> DataFrame:
+    text, site = F.col(text_col), F.coalesce(F.col(site_col).cast("string"), F.lit("\x01"))
+    keys = F.array_distinct(F.transform(F.split(text, "\n"), _key))
+    lines = docs.select(F.xxhash64(site).alias("site"), F.explode(keys).alias("h")).where("h is not null")
+    of_texts = lines_of_texts(docs, spread_lines(lines, min_sites), text_col)
+    chars = F.aggregate(F.transform(F.split(text, "\n"), lambda x: F.length(_inner(x)).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n)
+    all_of_it = docs.where(text.isNotNull()).select(_digest(text).alias("digest"), site.alias("site"), chars.alias("chars")).groupBy("digest").agg(F.min("site").alias("site"), F.sum("chars").alias("chars"))
+    hosts = all_of_it.join(of_texts.hint("merge"), "digest").where(COPIED[1] * F.col("n") < COPIED[0] * F.col("chars"))
+    return spread_lines(hosts.select(F.xxhash64("site").alias("site"), F.explode("hs").alias("h")), min_sites), of_texts
+
+
+def strip_lines(docs: DataFrame, bad: DataFrame, of_texts: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with __clean (the text without the lines of bad), __n_lines and __n_removed.
 
     The bad lines of each text are found once for all its copies and joined back by the
     text's digest; texts without any pass by.
     """
-    keys = F.transform(F.split(F.col(text_col), "\n"), _key)
-    d = docs.withColumn("__digest", F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-    each = d.select("__digest", F.explode(F.array_distinct(keys)).alias("h")).where("h is not null")
-    of_text = each.join(_hinted(bad.select("h")), "h").groupBy("__digest").agg(F.collect_set("h").alias("__bad"))
-    found = d.join(written(of_text, "lines-of-texts").hint("merge"), "__digest", "left").drop("__digest")
+    each = of_texts.select(F.col("digest").alias("__digest"), F.explode("hs").alias("h"))
+    of_text = each.join(hinted(bad.select("h"), BROADCAST_LINES), "h").groupBy("__digest").agg(F.collect_set("h").alias("__bad"))
+    found = docs.withColumn("__digest", _digest(F.col(text_col))).join(written(of_text, "bad-of-texts").hint("merge"), "__digest", "left").drop("__digest")
     lines = F.split(F.col(text_col), "\n")
     left = F.filter(lines, lambda x: ~F.coalesce(F.array_contains("__bad", _key(x)), F.lit(False)))
     return (
@@ -104,13 +90,14 @@ def strip_lines(docs: DataFrame, bad: DataFrame, text_col: str = "text") -> Data
     )
 
 
-def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES, min_neighbours: int = MIN_NEIGHBOURS, blocks: bool = False) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> DataFrame:
     """docs with __clean, __n_lines, __n_removed; one row per input row.
 
     A null text has no lines and stays null; an empty one stays empty; blank lines are never
     removed. Equal rows get equal results. All columns are passed on.
     """
-    return strip_lines(docs, boilerplate_lines(docs, site_col, text_col, min_sites, min_neighbours, blocks), text_col)
+    bad, of_texts = boilerplate_lines(docs, site_col, text_col, min_sites)
+    return strip_lines(docs, bad, of_texts, text_col)
 
 
 def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,10 +108,13 @@ def op8_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRIM = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$'"
 ORACLE = rf"""
-WITH t AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
-l AS (SELECT rid, source, line, regexp_replace(line, {_TRIM}, '', 'g') AS k, i FROM (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM t)),
-n AS (SELECT k, source, lag(k) OVER w AS a, lead(k) OVER w AS b FROM l WHERE k <> '' WINDOW w AS (PARTITION BY rid ORDER BY i)),
-bad AS (SELECT k FROM n GROUP BY k HAVING count(DISTINCT coalesce(source, chr(1))) >= {MIN_SITES} AND count(DISTINCT coalesce(a, chr(1)) || chr(0) || coalesce(b, chr(1))) >= {MIN_NEIGHBOURS}),
-c AS (SELECT rid, count(*) FILTER (k <> '') AS n_lines, count(*) FILTER (k IN (SELECT k FROM bad)) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (k NOT IN (SELECT k FROM bad)), '') AS clean FROM l GROUP BY rid)
-SELECT doc_id, n_lines, n_removed, length(clean)::BIGINT AS clean_chars, sha256(clean) AS clean_sha256 FROM t JOIN c USING (rid)
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, chr(1)) AS s, text FROM documents),
+d AS (SELECT text, min(s) AS s, row_number() OVER () AS tid FROM t WHERE text IS NOT NULL GROUP BY text),
+l AS (SELECT tid, line, regexp_replace(line, {_TRIM}, '', 'g') AS k, i FROM (SELECT tid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d)),
+c AS (SELECT DISTINCT tid, t.s FROM t JOIN d USING (text)),
+spread AS (SELECT k FROM l JOIN c USING (tid) WHERE k <> '' GROUP BY k HAVING count(DISTINCT s) >= {MIN_SITES}),
+hosts AS (SELECT tid FROM l GROUP BY tid HAVING {COPIED[1]} * sum(length(k)) FILTER (k IN (SELECT k FROM spread)) < {COPIED[0]} * sum(length(k))),
+bad AS (SELECT k FROM l JOIN hosts USING (tid) JOIN d USING (tid) WHERE k IN (SELECT k FROM spread) GROUP BY k HAVING count(DISTINCT d.s) >= {MIN_SITES}),
+o AS (SELECT tid, count(*) FILTER (k <> '') AS n_lines, count(*) FILTER (k IN (SELECT k FROM bad)) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (k NOT IN (SELECT k FROM bad)), '') AS clean FROM l GROUP BY tid)
+SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(coalesce(clean, ''))::BIGINT AS clean_chars, sha256(coalesce(clean, '')) AS clean_sha256 FROM t LEFT JOIN d USING (text) LEFT JOIN o USING (tid)
 """

@@ -38,14 +38,26 @@ def test_line_spread(spark):
     rows = [(i, t, f"s{i % 9}" if "nine" in t and "exactly" not in t else s) for i, t, s in rows]
     copy = "\n".join(words(rng, 5) for _ in range(5))
     rows += [(100 + i, copy, f"s{i % 15}") for i in range(40)] + [(None, None, None), (1, "", "s1"), (2, "\n \n", None)]
-    spread, near = defaultdict(set), defaultdict(set)
+    footer = [words(rng, 5) for _ in range(4)]
+    rows += [(200 + i, "\n".join([words(rng, 30), words(rng, 30), *footer]), f"s{i % 15}") for i in range(30)]
+    base = [words(rng, 9) for _ in range(9)]  # near copies, each with a line of its own
+    rows += [(300 + i, "\n".join([*base[: i % 9], words(rng, 9), *base[i % 9 + 1 :]]), f"s{i % 15}") for i in range(30)]
+
+    def lines_of(t):
+        return [x for x in (y.strip(" \t\n\x0b\x0c\r") for y in (t or "").split("\n")) if x]
+
+    spread, hosted, sites = defaultdict(set), defaultdict(set), defaultdict(set)
     for _, t, s in rows:
-        lines = [x.strip(" \t\n\x0b\x0c\r") for x in (t or "").split("\n")]
-        lines = [x for x in lines if x]
-        for k, x in enumerate(lines):
+        sites[t].add(s or "")
+        for x in lines_of(t):
             spread[x].add(s)
-            near[x].add((lines[k - 1] if k else None, lines[k + 1] if k + 1 < len(lines) else None))
-    bad = {x for x in spread if len(spread[x]) >= 10 and len(near[x]) >= 10}
+    for t, found in sites.items():
+        wide = [x for x in lines_of(t) if len(spread[x]) >= 10]
+        if 3 * sum(map(len, wide)) < 2 * sum(map(len, lines_of(t))):
+            for x in wide:
+                hosted[x].add(min(found))
+    bad = {x for x in hosted if len(hosted[x]) >= 10}
+    assert set(footer) <= bad and not bad & set(base)
     assert "seen on ten sites or more" in bad and not any(x in bad for x in copy.split("\n"))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as h", "2 as key")
     out = line_spread.remove_boilerplate(df).collect()
