@@ -15,8 +15,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """Each node's neighbours linked to the smallest of it and them: those above it (large), or it and those below it."""
     if large:
         links = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    # Dealt out by m, the minima come to the join by a shuffle of their own, and a hub's links can be split there.
-    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition("m")
+    # Dealt out evenly first, the minima come to the join by a shuffle of their own, and a hub's links can be split there.
+    least = links.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).repartition(F.xxhash64("a"))
     met = links.join(least.hint("merge"), "a")
     if large:
         return met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -28,7 +28,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Null ends and links of a node to itself are left out; an empty table gives an empty one.
     A node with very many links is only ever counted and joined, never gathered. Each round
-    is written, so that no lineage builds up.
+    is written, so that no lineage builds up. Links that need more than MAX_ROUNDS are an error.
     """
     downhill = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now, mark = written(downhill, "links"), None
@@ -38,5 +38,7 @@ def components(links: DataFrame) -> DataFrame:
             break
         mark = seen
         now = written(_star(written(_star(now, True).distinct(), "links"), False).distinct(), "links")
+    else:
+        raise RuntimeError(f"components not settled in {MAX_ROUNDS} rounds")
     ends = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return ends.union(ends.select("root", "root")).distinct()

@@ -2,7 +2,7 @@
 
 Fingerprints differ in at most two bits only if three of five blocks of bits are equal, so
 ten keys of three blocks bring all links together. Rows that share a key are compared bit
-plane by bit plane: plane b holds bit b of 64 fingerprints a word; two counter words,
+plane by bit plane: plane b holds bit b of 64 fingerprints a word; counter words,
 added to with carries, count the differing bits of 64 pairs at once; a block of 64 is
 given up as soon as all its counts exceed the radius.
 """
@@ -65,7 +65,7 @@ def block_masks(blocks: int = BLOCKS, radius: int = RADIUS) -> list[int]:
 
 
 def sliced_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs i < j of places in fps at `radius` (1 to 3) or fewer differing bits."""
+    """Pairs i < j of places in fps at `radius` or fewer differing bits."""
     m = len(fps)
     words = (m + 63) // 64
     bits = np.unpackbits(fps.view(np.uint8).reshape(m, 8), axis=1, bitorder="little")
@@ -80,24 +80,20 @@ def sliced_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.
         q = np.arange(at, min(m, at + step))
         row = np.repeat(q, words - q // 64)  # a query meets its own word and those after it
         word = np.concatenate([np.arange(i // 64, words) for i in q]) if words > 1 else np.zeros(len(q), dtype=np.int64)
-        one, two, four = (np.zeros(len(row), dtype=np.uint64) for _ in range(3))
+        counts = [np.zeros(len(row), dtype=np.uint64) for _ in range(radius.bit_length() + 1)]  # the last stays set once the others are full
         for k, b in enumerate(varying):
             d = planes[b, word] ^ flips[row, b]
-            carry = one & d
-            one = one ^ d
-            high = two & carry
-            two = two ^ carry
-            four |= high
-            if k % 6 == 5 and k + 1 < len(varying):
-                alive = ~_over(one, two, four, radius)
-                live = np.flatnonzero(alive)
+            for i, c in enumerate(counts[:-1]):
+                counts[i], d = c ^ d, c & d
+            counts[-1] |= d
+            if k >= radius and k % 6 == 5 and k + 1 < len(varying):
+                live = np.flatnonzero(_beyond(counts, radius) != np.uint64(0xFFFFFFFFFFFFFFFF))
                 if len(live) < len(row):
-                    row, word, one, two, four = row[live], word[live], one[live], two[live], four[live]
+                    row, word, counts = row[live], word[live], [c[live] for c in counts]
                 if not len(row):
                     break
         if len(row):
-            near = ~_beyond(one, two, four, radius)
-            hits = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            hits = np.unpackbits((~_beyond(counts, radius)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             r, c = np.nonzero(hits)
             i, j = row[r], word[r] * 64 + c
             good = (j < m) & (j > i)
@@ -107,14 +103,15 @@ def sliced_links(fps: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.
     return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _beyond(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Bits of the pairs whose count exceeds the radius."""
-    return four | {1: two, 2: two & one, 3: np.zeros_like(one)}[radius]
-
-
-def _over(one: np.ndarray, two: np.ndarray, four: np.ndarray, radius: int) -> np.ndarray:
-    """Blocks in which every count exceeds the radius."""
-    return _beyond(one, two, four, radius) == np.uint64(0xFFFFFFFFFFFFFFFF)
+def _beyond(counts: list[np.ndarray], radius: int) -> np.ndarray:
+    """Bits of the pairs whose count exceeds the radius: compared from the highest counter down."""
+    over, same = counts[-1], ~counts[-1]
+    for i in range(len(counts) - 2, -1, -1):
+        if radius >> i & 1:
+            same = same & counts[i]
+        else:
+            over, same = over | same & counts[i], same & ~counts[i]
+    return over
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
