@@ -114,8 +114,8 @@ def test_held_out_accuracy(spark):
     d, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     half = labels.where("doc_id % 2 = 0")
     kept = {r.doc_id: r["__kept"] for r in resampling.resample(d, half).select("doc_id", "__kept").collect()}
-    held = [(r.quality, kept[r.doc_id]) for r in labels.where("doc_id % 2 = 1").collect()]
-    good, bad = [k for q, k in held if q == 1], [k for q, k in held if q == 0]
+    held = [(r.quality, r.toxic, kept[r.doc_id]) for r in labels.where("doc_id % 2 = 1").collect()]
+    good, bad = [k for q, t, k in held if q == 1 and t == 0], [k for q, _, k in held if q == 0]
     assert np.mean(good) > 0.97 and np.mean(bad) < 0.1
 
 
