@@ -17,10 +17,9 @@ import numpy as np
 END = 0
 
 
-def _ranked(bwt: np.ndarray) -> np.ndarray:
-    """Rows by the symbol in them, ties in row order, rows with END left out."""
-    order = np.argsort(bwt, kind="stable")
-    return order[np.count_nonzero(bwt == END) :]
+#: A key is a symbol and, in its low half, the row that it stands in.
+_ROW = np.uint64(0xFFFFFFFF)
+_HIGH = np.uint64(32)
 
 
 def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int = 16) -> np.ndarray:
@@ -46,14 +45,14 @@ def least_between(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: int
     return out
 
 
-def _shared(lcp: np.ndarray, bwt: np.ndarray, order: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+def _shared(lcp: np.ndarray, keys: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
     """Common prefix of new rows `at` and those before them: none, or one symbol and what their rests share."""
     out = np.zeros(len(at), dtype=np.uint8)
     k = at - m
-    inner = np.flatnonzero((k > 0) & (k < len(order)))
-    a, b = order[k[inner] - 1], order[k[inner]]
-    same = bwt[a] == bwt[b]
-    inner, a, b = inner[same], a[same], b[same]
+    inner = np.flatnonzero((k > 0) & (k < len(keys)))
+    a, b = keys[k[inner] - 1], keys[k[inner]]
+    same = a >> _HIGH == b >> _HIGH
+    inner, a, b = inner[same], (a[same] & _ROW).astype(np.int64), (b[same] & _ROW).astype(np.int64)
     if len(inner):
         out[inner] = np.minimum(least_between(lcp, a + 1, b), 253) + 1
     return out
@@ -91,7 +90,8 @@ def suffixes_shared(strings: list[np.ndarray], depth: int, folder: str | None =
     """For each string, whether the suffix at each place shares its first `depth` symbols (at most 254) with another suffix.
 
     Symbols are numbers above END, in any order, and a suffix ends with its string. One entry
-    per place at which `depth` symbols are left. Up to 16 bits a symbol, sorting takes linear time.
+    per place at which `depth` symbols are left. The rows of each symbol are kept in order
+    beside the BWT, so that a rank is a search.
     """
     m = len(strings)
     n = np.array([len(s) for s in strings], dtype=np.int64)
@@ -104,30 +104,35 @@ def suffixes_shared(strings: list[np.ndarray], depth: int, folder: str | None =
         columns[: len(s), i] = s[::-1]
     kept = _Sequences(columns[0].copy(), np.zeros(m, dtype=np.uint8), folder)
     live, row = np.arange(m), np.arange(m)  # each live string's latest suffix
+    keys = np.zeros(0, dtype=np.uint64)
     for j in range(1, longest + 1):
         bwt, lcp = kept.get()
-        going = bwt[row] != END
-        live, row = live[going], row[going]
+        symbols = bwt[row]
+        going = symbols != END
+        live, row, symbols = live[going], row[going], symbols[going]
         if not len(live):
             break
-        order = _ranked(bwt)
-        rank = np.empty(len(bwt), dtype=np.int64)
-        rank[order] = np.arange(len(order))
-        new = rank[row] + m
-        by = np.argsort(new)
-        live, new = live[by], new[by]
+        # The latest symbols join the others in order; where they come is their rank.
+        latest = symbols.astype(np.uint64) << _HIGH | row.astype(np.uint64)
+        by = np.argsort(latest)
+        live, latest = live[by], latest[by]
+        place = np.searchsorted(keys, latest)
+        keys = np.insert(keys, place, latest)
+        new = place + np.arange(m, m + len(live))
         size = len(bwt) + len(new)
         after = new + 1
-        shared, shared_after = np.split(_shared(lcp, bwt, order, np.concatenate([new, after]), m), 2)
+        shared, shared_after = np.split(_shared(lcp, keys, np.concatenate([new, after]), m), 2)
         old = np.ones(size, dtype=bool)
         old[new] = False
-        both = np.empty(size, dtype=bwt.dtype)
-        both[old], both[new] = bwt, columns[j, live]
-        next_lcp = np.empty(size, dtype=np.uint8)
-        next_lcp[old] = lcp
+        moved = np.flatnonzero(old)
+        both, next_lcp = np.empty(size, dtype=bwt.dtype), np.empty(size, dtype=np.uint8)
+        both[moved], both[new] = bwt, columns[j, live]
+        next_lcp[moved] = lcp
         inside = after < size
         next_lcp[after[inside]] = shared_after[inside]
         next_lcp[new] = shared
+        rows = keys.view("<u4")[::2]
+        rows[:] = moved[rows]
         kept.put(both, next_lcp)
         row = new
     bwt, lcp = kept.get()
@@ -136,8 +141,7 @@ def suffixes_shared(strings: list[np.ndarray], depth: int, folder: str | None =
     deep = np.append(lcp >= depth, False)
     deep = deep[:-1] | deep[1:]
     step = np.empty(len(bwt), dtype=np.int64)
-    order = _ranked(bwt)
-    step[order] = np.arange(len(order)) + m
+    step[(keys & _ROW).astype(np.int64)] = np.arange(len(keys)) + m
     found = [np.zeros(max(0, x - depth + 1), dtype=bool) for x in n]
     marks = np.zeros((longest + 1, m), dtype=bool)
     who, at = np.arange(m), np.arange(m)

@@ -33,7 +33,7 @@ GRAM = 32
 #: Places of an anchor that share a piece, at first and for cores of too many pieces.
 WIDTHS = (100, 20, 1)
 #: Bytes of a symbol; DEPTH is a multiple of it.
-BLOCK = 4
+BLOCK = 8
 #: Starts of windows handled at once; longer texts are taken in parts that overlap by a window.
 PART = (1 << 20) - 256
 #: Pieces whose BWT is built together, made of whole groups of a core.
