@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import re
 import zipfile
 from collections.abc import Iterator
 from difflib import unified_diff
+from functools import cached_property
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType
 
 # Fixed values.
 NOISE_TAGS = {"script", "style", "noscript", "nav", "footer"}
@@ -26,6 +27,8 @@ NOISE_CLASSES = {
 KEPT_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "ol", "ul", "li", "table", "thead", "tbody", "tr", "td", "th", "strong", "b", "em", "i", "sup", "sub", "br", "a", "div"}
 LINE_TAGS = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "tr"}
 VOID = {"br", "img", "hr", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
+#: What these hold is no text.
+SILENT_TAGS = {"script", "style", "template"}
 #: An opening tag ends these that are open, up to the nearest of the others.
 IMPLIED_END = {"p": ({"p"}, {"td", "th", "li", "article", "div", "main", "body"}), "li": ({"li", "p"}, {"ul", "ol"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"})}
 ENDS_PARAGRAPH = {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "div", "article", "main", "nav", "footer", "section"}
@@ -45,14 +48,21 @@ class Node:
             stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
 
     def texts(self) -> Iterator[str]:
-        stack: list[Node | str] = [self]
+        stack: list[Node | str] = list(reversed(self.children))
         while stack:
             node = stack.pop()
             if isinstance(node, str):
                 yield node
-            else:
+            elif node.name not in SILENT_TAGS:
                 stack.extend(reversed(node.children))
 
+    def inside(self, test) -> bool:
+        """Whether a node around this one passes a test."""
+        at = self.parent
+        while at is not None and not test(at):
+            at = at.parent
+        return at is not None
+
     def text(self) -> str:
         return " ".join(t for t in (x.strip() for x in self.texts()) if t)
 
@@ -108,31 +118,53 @@ def parse(html: str | None) -> Node:
 
 
 def clean(value: str) -> str:
-    return re.sub(r"\s+", " ", value.replace("\xa0", " ")).strip()
+    """One space for each run of white space, none at the ends."""
+    return " ".join(value.split())
 
 
 def _first(root: Node, test) -> Node | None:
     return next((n for n in root.walk() if test(n)), None)
 
 
+def _body(n: Node) -> bool:
+    return "com-content-article__body" in n.classes()
+
+
+def _item(n: Node) -> bool:
+    return "item-page" in n.classes()
+
+
+#: Where a page's content may stand, in order.
+ROOTS = (
+    _body,
+    lambda n: _body(n) and n.inside(_item),
+    lambda n: n.name == "article",
+    lambda n: n.name == "article" and n.inside(lambda m: m.name == "main"),
+    _item,
+    lambda n: "com-content-article" in n.classes(),
+    lambda n: n.name == "main",
+    lambda n: n.attrs.get("id") == "content",
+)
+
+
 def content_root(root: Node) -> Node:
     """Of the candidates, in order, the first with most text; else body, else all."""
-    tests = [
-        lambda n: "com-content-article__body" in n.classes(), lambda n: n.name == "article", lambda n: "item-page" in n.classes(),
-        lambda n: "com-content-article" in n.classes(), lambda n: n.name == "main", lambda n: n.attrs.get("id") == "content",
-    ]
-    found = [n for n in (_first(root, t) for t in tests) if n is not None]
+    found = [n for n in (_first(root, t) for t in ROOTS) if n is not None]
     return max(found, key=lambda n: len(n.text()), default=_first(root, lambda n: n.name == "body") or root)
 
 
 def _strip(node: Node) -> Node:
-    """A copy without noise."""
+    """A copy without noise; pages may be nested deeply, so nothing here recurs."""
     out = Node(node.name, node.attrs, None)
-    for c in node.children:
-        if isinstance(c, str):
-            out.children.append(c)
-        elif c.name not in NOISE_TAGS and not c.classes() & NOISE_CLASSES:
-            out.children.append(_strip(c))
+    todo = [(node, out)]
+    while todo:
+        source, copy = todo.pop()
+        for c in source.children:
+            if isinstance(c, str):
+                copy.children.append(c)
+            elif c.name not in NOISE_TAGS and not c.classes() & NOISE_CLASSES:
+                copy.children.append(Node(c.name, c.attrs, copy))
+                todo.append((c, copy.children[-1]))
     return out
 
 
@@ -147,61 +179,102 @@ def semantic_text(node: Node) -> str:
     return "\n".join(lines)
 
 
+class _End(str):
+    """A closing tag that waits for what is inside it."""
+
+
 def normalized_html(node: Node) -> str:
     out: list[str] = []
-
-    def put(n: Node) -> None:
-        keep = n.name in KEPT_TAGS
-        if keep:
+    todo: list[Node | str] = [node]
+    while todo:
+        n = todo.pop()
+        if isinstance(n, str):
+            out.append(n if isinstance(n, _End) else escape(n, quote=False))
+            continue
+        if n.name in KEPT_TAGS:
             names = ("href",) if n.name == "a" else ("rowspan", "colspan") if n.name in ("td", "th") else ()
             out.append(f"<{n.name}" + "".join(f' {k}="{escape(n.attrs[k])}"' for k in names if n.attrs.get(k)) + ("/>" if n.name in VOID else ">"))
-        for c in n.children:
-            out.append(escape(c, quote=False)) if isinstance(c, str) else put(c)
-        if keep and n.name not in VOID:
-            out.append(f"</{n.name}>")
-
-    put(node)
+            if n.name not in VOID:
+                todo.append(_End(f"</{n.name}>"))
+        todo.extend(reversed(n.children))
     return "".join(out)
 
 
-def page_facts(html: str | None, url: str | None) -> dict:
-    root = parse(html)
-    title = _first(root, lambda n: n.name == "h1") or _first(root, lambda n: n.name == "title")
-    crumbs = [a for n in root.walk() if n.classes() & {"breadcrumb", "breadcrumbs"} for a in n.walk() if a.name == "a"]
-    body = content_root(root)
-    inside = {id(n) for n in body.walk() if n.name == "a"}
-    links = [(urljoin(url or "", n.attrs["href"]), clean(n.text()), id(n) in inside) for n in root.walk() if n.name == "a" and "href" in n.attrs]
-    bare = _strip(body)
-    return {
-        "title": clean(title.text()) if title else "",
-        "category": clean(crumbs[-1].text()) if crumbs else "",
-        "root_tag": body.name,
-        "root_chars": len(body.text()),
-        "links": [{"url": u, "title": t, "in_root": i} for u, t, i in links],
-        "normalized_html": normalized_html(bare),
-        "semantic_text": semantic_text(bare),
-    }
+class Page:
+    """A page's facts, each found when it is asked for."""
+
+    def __init__(self, html: str | None, url: str | None):
+        self.url, self.tree = url or "", parse(html)
+
+    @cached_property
+    def root(self) -> Node:
+        return content_root(self.tree)
+
+    @cached_property
+    def bare(self) -> Node:
+        return _strip(self.root)
 
+    def title(self) -> str:
+        found = _first(self.tree, lambda n: n.name == "h1") or _first(self.tree, lambda n: n.name == "title")
+        return clean(found.text()) if found else ""
 
-FACTS = "page_id long, url string, title string, category string, root_tag string, root_chars long, links array<struct<url:string,title:string,in_root:boolean>>, normalized_html string, semantic_text string, error string"
+    def category(self) -> str:
+        crumbs = [a for n in self.tree.walk() if n.classes() & {"breadcrumb", "breadcrumbs"} for a in n.walk() if a.name == "a"]
+        return clean(crumbs[-1].text()) if crumbs else ""
 
+    def root_tag(self) -> str:
+        return self.root.name
 
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """FACTS for each page; a page that can't be parsed is a row with `error`, not a failed task."""
+    def root_chars(self) -> int:
+        return len(self.root.text())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for page_id, url, html in zip(b.page_id, b.url, b.html, strict=True):
-                try:
-                    row = page_facts(html, url) | {"error": None}
-                except (ValueError, AssertionError, RecursionError) as e:
-                    row = dict.fromkeys(("title", "category", "root_tag", "root_chars", "links", "normalized_html", "semantic_text")) | {"error": str(e)[:200]}
-                out.append({"page_id": page_id, "url": url} | row)
-            if out:
-                yield pd.DataFrame(out)
+    def links(self) -> list[dict]:
+        inside = {id(n) for n in self.root.walk() if n.name == "a"}
+        every = [n for n in self.tree.walk() if n.name == "a" and "href" in n.attrs]
+        return [{"url": urljoin(self.url, n.attrs["href"]), "title": clean(n.text()), "in_root": id(n) in inside} for n in every]
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, FACTS)
+    def normalized_html(self) -> str:
+        return normalized_html(self.bare)
+
+    def semantic_text(self) -> str:
+        return semantic_text(self.bare)
+
+
+_LINKS = pa.list_(pa.struct([("url", pa.string()), ("title", pa.string()), ("in_root", pa.bool_())]))
+#: Spark's and Arrow's type of each fact.
+FACTS = {
+    "title": ("string", pa.string()), "category": ("string", pa.string()), "root_tag": ("string", pa.string()), "root_chars": ("long", pa.int64()),
+    "links": ("array<struct<url:string,title:string,in_root:boolean>>", _LINKS), "normalized_html": ("string", pa.string()), "semantic_text": ("string", pa.string()),
+}
+#: Pages parsed at once.
+PAGES = 200
+
+
+def page_facts(html: str | None, url: str | None, names: tuple[str, ...] = tuple(FACTS)) -> dict:
+    page = Page(html, url)
+    return {name: getattr(page, name)() for name in names}
+
+
+def parse_pages(pages: DataFrame, *names: str) -> DataFrame:
+    """page_id, url, the named facts of each page and `error`: a page that can't be parsed says why there, and has null facts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                b = batch.slice(at, PAGES)
+                rows, errors = [], []
+                for url, html in zip(b.column(1), b.column(2), strict=True):
+                    try:
+                        rows.append(page_facts(html.as_py(), url.as_py(), names))
+                        errors.append(None)
+                    except (ValueError, AssertionError) as e:
+                        rows.append(dict.fromkeys(names))
+                        errors.append(str(e)[:200])
+                facts = [pa.array([r[n] for r in rows], FACTS[n][1]) for n in names]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *facts, pa.array(errors, pa.string())], names=["page_id", "url", *names, "error"])
+
+    schema = "page_id long, url string, " + ", ".join(f"{n} {FACTS[n][0]}" for n in names) + ", error string"
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, schema)
 
 
 def odt_text(data: bytes | None) -> str:
@@ -225,21 +298,16 @@ def make_odt(text: str | None) -> bytes:
     return out.getvalue()
 
 
-def attachment_text(data: bytes | None, content_type: str, url: str) -> str:
-    """Text by suffix or type: of ODT only; white space tidied."""
-    text = odt_text(data) if url.lower().endswith(".odt") or "opendocument" in content_type.lower() else ""
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
-
-
 @F.pandas_udf(BinaryType())
 def odt_of(text: pd.Series) -> pd.Series:
     return text.map(make_odt)
 
 
-@F.pandas_udf(StructType([StructField("text", StringType()), StructField("sha256", StringType())]))
-def extracted(data: pd.Series, content_type: pd.Series, url: pd.Series) -> pd.DataFrame:
-    texts = [attachment_text(d, c, u) for d, c, u in zip(data, content_type, url, strict=True)]
-    return pd.DataFrame({"text": texts, "sha256": [hashlib.sha256(t.encode()).hexdigest() if t else "" for t in texts]})
+@F.pandas_udf(StringType())
+def extracted(data: pd.Series, content_type: pd.Series, url: pd.Series) -> pd.Series:
+    """The text of attachments that are ODTs by suffix or type; of others none."""
+    odt = url.str.lower().str.endswith(".odt") | content_type.str.lower().str.contains("opendocument", regex=False)
+    return pd.Series([odt_text(d) if o else "" for d, o in zip(data, odt, strict=True)], dtype=object)
 
 
 @F.pandas_udf(StringType())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redlake.functions.text import category_key, format_ts, html_escape, severity_icon
-from redlake.sources.tables import checked
+from redlake.sources.tables import checked, written
 
 from . import events as ev
 from .versions import first_of
@@ -24,7 +24,7 @@ def with_documents(events: DataFrame, documents: DataFrame) -> DataFrame:
 
 def dedupe_fingerprint(events: DataFrame) -> DataFrame:
     """The first event of each (kind, document_id, summary, details); nulls are equal."""
-    return first_of(events, ["kind", "document_id", "summary", "details"], F.col("id"))
+    return first_of(events, ["kind", "document_id", "summary", "details"], "id")
 
 
 def new_errors(events: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def new_errors(events: DataFrame) -> DataFrame:
     fresh = errors.where(~F.col("notified"))
     # kind and summary are never null: they spread the rows; only document_id needs a null-safe test.
     unseen = fresh.join(known, (F.col("kind") == F.col("k")) & (F.col("summary") == F.col("s")) & F.col("document_id").eqNullSafe(F.col("d")), "left_anti")
-    return first_of(unseen, ["kind", "document_id", "summary"], F.col("id"))
+    return first_of(unseen, ["kind", "document_id", "summary"], "id")
 
 
 def approved(recipients: DataFrame) -> DataFrame:
@@ -113,16 +113,25 @@ def change_digest(events: DataFrame, by: list[str], groups: int = MAX_GROUPS) ->
     A recipient's groups are ranked by their keys before any text is gathered, and only the
     first ones' texts are.
     """
+    keys = [*by, "category", "document_id"]
+    named = events.withColumn("category", group_key(F.col("category")))
+    # A group's first event is its first before noise goes, as without_initial_noise has it.
+    told = (F.col("kind") != "attachment_added") | ~F.col("added")
+    sizes = named.groupBy(*keys).agg(F.min("id").alias("first_id"), F.max(F.col("kind") == "document_added").alias("added"), F.count(F.lit(1)).alias("n_all"), F.count_if(F.col("kind") == "attachment_added").alias("n_files"))
+    sizes = written(sizes.withColumn("n", F.col("n_all") - F.when(F.col("added"), F.col("n_files")).otherwise(0)), "groups")
+    totals = sizes.groupBy(*by).agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_groups"))
+    shown = sizes.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("first_id"))).where(F.col("rank") <= groups).select(*keys, "first_id", "added", "rank")
+    same = [F.col(f"g.{c}").eqNullSafe(F.col(f"e.{c}")) for c in keys]
+    some = named.alias("e").join(checked(written(shown, "shown")).alias("g"), same).select("e.*", "g.first_id", "g.added", "g.rank").where(told)
+
     link = F.coalesce(F.concat(F.lit(' · <a href="'), html_escape(F.col("url")), F.lit('">открыть</a>')), F.lit(""))
     line = F.concat(severity_icon(F.col("severity")), F.lit(" "), html_escape(F.substring("summary", 1, MAX_LINE)), F.lit(" <code>"), html_escape(F.col("kind")), F.lit("</code>"), link)
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy("first_id"))
-    ranked = _groups(without_initial_noise(events, by), by, line).withColumn("rank", rank)
     head = F.concat(F.lit("\n📁 <b>"), html_escape(F.col("category")), F.lit("</b>\n<b>"), html_escape(F.coalesce("title", F.lit(NO_DOCUMENT))), F.lit("</b>\n"))
-    shown = F.when(F.col("rank") <= groups, F.struct("rank", F.concat(head, F.col("body")).alias("t")))
-    out = ranked.groupBy(*by).agg(F.sum("n").alias("n_events"), F.count(F.lit(1)).alias("n_groups"), F.array_sort(F.collect_list(shown)).alias("shown"))
+    block = _groups(some, [*by, "rank"], line).select(*by, F.struct("rank", F.concat(head, F.col("body")).alias("t")).alias("block"))
+    texts = block.groupBy(*by).agg(F.array_sort(F.collect_list("block")).alias("shown"))  # at most `groups` a recipient
     over = F.when(F.col("n_groups") > groups, F.concat(F.lit("\n… и ещё "), (F.col("n_groups") - groups).cast("string"), F.lit(" документов. Подробности: /changes")))
     text = F.concat(F.lit("🔔 Изменения: "), F.col("n_events").cast("string"), F.lit(" событий\n"), F.array_join(F.transform("shown", lambda s: s.t), "\n"), F.coalesce(over, F.lit("")))
-    return out.select(*by, "n_events", text.alias("text"))
+    return totals.join(texts, by).select(*by, "n_events", text.alias("text"))
 
 
 def changes_listing(events: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from redlake.sources.tables import written
 
 MAX_ROUNDS = 1000
 MAX_NODES = 10_000_000_000
+#: A catalogue of more pages than this is taken for a trap.
+MAX_PAGES = 10_000
 
 
 def bfs(edges: DataFrame, roots: DataFrame, closed: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -30,4 +32,18 @@ def bfs(edges: DataFrame, roots: DataFrame, closed: DataFrame, max_nodes: int =
         if total > max_nodes:
             raise ValueError(f"more than {max_nodes} nodes")
         seen = seen.unionByName(frontier)
+    else:
+        raise RuntimeError(f"not at an end after {MAX_ROUNDS} rounds")
     return seen
+
+
+def discover(links: DataFrame, roots: DataFrame, muted: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+    """(node): the documents that links (src, dst, is_document) lead to from roots.
+
+    Other pages are walked through; what muted pages link to is neither walked nor a
+    document. Documents are leaves. More than max_pages pages are an error.
+    """
+    links = written(links, "links")
+    pages = bfs(links.where("not is_document").select("src", "dst"), roots, muted, max_pages)
+    open_ = pages.join(muted, "node", "left_anti").select(F.col("node").alias("src"))
+    return links.where("is_document").join(open_, "src", "left_semi").select(F.col("dst").alias("node")).distinct()

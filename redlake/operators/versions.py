@@ -74,9 +74,11 @@ def missing_streak(captures: DataFrame, runs: int = 2) -> DataFrame:
     return captures.groupBy("key").agg(F.max("run").alias("seen")).crossJoin(F.broadcast(last)).select("key", F.least(gone, F.lit(runs)).cast("long").alias("missing_runs"), (gone < runs).alias("active"))
 
 
-def first_of(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    """The first row of each key; null keys are keys like others."""
-    return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("__rn = 1").drop("__rn")
+def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row of each key with the smallest `order`; null keys are keys like others. An aggregate: a hot key is reduced before it is shuffled."""
+    rest = [c for c in rows.columns if c not in keys and c != order]
+    least = rows.groupBy(*keys).agg(F.min(F.struct(order, *rest)).alias("__m"))
+    return least.select(*[F.col(f"__m.{c}") if c not in keys else F.col(c) for c in rows.columns])
 
 
 def throttle(notices: DataFrame, seconds: int = 60) -> DataFrame:

@@ -211,12 +211,6 @@ def throttle_notice(x: Inputs) -> DataFrame:
     return versions.throttle(notices)
 
 
-@query("latest_per_interval", "SELECT document_id, time_bucket(INTERVAL 2 SECONDS, created_at) AS start, max_by(kind, (created_at, id)) AS kind FROM change_log WHERE document_id IS NOT NULL GROUP BY ALL", "change_log")
-def latest_per_interval(x: Inputs) -> DataFrame:
-    g = x.change_log.where("document_id is not null").groupBy("document_id", F.window("created_at", "2 seconds").alias("w"))
-    return g.agg(F.max_by("kind", F.struct("created_at", "id")).alias("kind")).select("document_id", F.col("w.start").alias("start"), "kind")
-
-
 @query("recent_events", "SELECT id, created_at, kind, summary FROM change_log ORDER BY id DESC LIMIT 20", "change_log")
 def recent_events(x: Inputs) -> DataFrame:
     return x.change_log.orderBy(F.desc("id")).limit(20).select("id", "created_at", "kind", "summary")

@@ -9,7 +9,6 @@ from redlake.functions import urls
 from redlake.functions.text import category_key, category_token
 from redlake.operators import delivery, versions
 from redlake.operators import events as ev
-from redlake.operators.graph import bfs
 from redlake.sources.tables import checked
 
 from .base import Inputs, query
@@ -126,9 +125,9 @@ def attachment_pair_join(x: Inputs) -> DataFrame:
     return x.blobs.select(F.col("store").alias("key"), "seq", "digest", F.lag("digest").over(Window.partitionBy("store").orderBy("seq")).alias("previous_digest"))
 
 
-@query("new_documents", "SELECT DISTINCT key FROM captures WHERE run >= 15 AND key NOT IN (SELECT key FROM captures WHERE run < 3)", "captures")
+@query("new_documents", "SELECT DISTINCT key FROM captures WHERE run >= 15 AND key NOT IN (SELECT key FROM captures WHERE run < 1)", "captures")
 def new_documents(x: Inputs) -> DataFrame:
-    return x.captures.where("run >= 15").select("key").distinct().join(x.captures.where("run < 3").select("key"), "key", "left_anti")
+    return x.captures.where("run >= 15").select("key").distinct().join(x.captures.where("run < 1").select("key"), "key", "left_anti")
 
 
 _LINKS = """, k AS (SELECT DISTINCT user_id AS document_id, event_type AS url FROM events WHERE ts < TIMESTAMP '2024-01-08'), c AS (SELECT DISTINCT user_id AS document_id, event_type AS url FROM events WHERE ts >= TIMESTAMP '2024-01-25'), one AS (SELECT 1)"""
@@ -284,13 +283,6 @@ def line_delta(x: Inputs) -> DataFrame:
     return net.groupBy("key", "version").agg(F.sum(F.greatest("d", F.lit(0))).alias("added"), F.sum(F.greatest(-F.col("d"), F.lit(0))).alias("removed"))
 
 
-@query("catalog_bfs", """, m AS (SELECT p_partkey AS n FROM part WHERE p_type LIKE 'ECONOMY%'), r AS (SELECT 0::BIGINT AS node UNION SELECT e.dst FROM r JOIN catalog_edges e ON e.src = r.node WHERE r.node NOT IN (SELECT n FROM m)) SELECT node FROM r""", "catalog_edges")
-def catalog_bfs(x: Inputs) -> DataFrame:
-    """Nodes reached from 0; ECONOMY parts stand for muted pages: reached, not expanded."""
-    muted = x.table("part").where("p_type like 'ECONOMY%'").select(F.col("p_partkey").alias("node"))
-    return bfs(x.catalog_edges, x.spark.range(1).select(F.col("id").alias("node")), muted).select("node")
-
-
 @query("dependency_closure", """, l AS (SELECT DISTINCT page_id, target, regexp_matches(lower(target), '\\.(pdf|odt|docx?|xlsx?|zip|rar|7z)$') AS is_file FROM page_links)
     SELECT page_id, count(*) FILTER (NOT is_file) AS n_documents, count(*) FILTER (is_file) AS n_files FROM l GROUP BY page_id""", "page_links")
 def dependency_closure(x: Inputs) -> DataFrame:

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from redlake.functions import html, text, urls
 from redlake.operators import delivery
 from redlake.operators import events as ev
+from redlake.operators.graph import discover
+from redlake.sources import tables
+from redlake.sources.fixtures import CATALOG, CATALOG_URL
 
 from .aggregates import _SEVERITY
 from .base import Inputs, query
@@ -168,14 +171,26 @@ _N = "chr(10)"
 _AT = "strftime(created_at, '%Y-%m-%d %H:%M:%S') || ' UTC'"
 
 
-@query("event_report", _EVENTS + f""", r AS (SELECT *, CASE WHEN id % 3 = 0 THEN '@@ -1 +1 @@' || {_N} || details ELSE details END AS body FROM e)
-    SELECT id, kind, 'Отчёт об изменении' || {_N} || 'Событие #' || id || {_N} || 'Время: ' || {_AT} || {_N} || 'Тип: ' || kind || {_N} || 'Важность: ' || severity || {_N} || 'Документ: ' || coalesce(title, 'Документ') || {_N} || 'URL: ' || coalesce(url, 'нет данных') || {_N} || {_N} || 'Кратко:' || {_N} || summary || {_N} || {_N} || 'Подробности / old-new diff:' || {_N} || body || {_N} AS report,
+_REPORTS = _EVENTS + f""", r AS (SELECT *, CASE WHEN id % 3 = 0 THEN '@@ -1 +1 @@' || {_N} || details ELSE details END AS body FROM e),
+    p AS (SELECT id, kind, 'Отчёт об изменении' || {_N} || 'Событие #' || id || {_N} || 'Время: ' || {_AT} || {_N} || 'Тип: ' || kind || {_N} || 'Важность: ' || severity || {_N} || 'Документ: ' || coalesce(title, 'Документ') || {_N} || 'URL: ' || coalesce(url, 'нет данных') || {_N} || {_N} || 'Кратко:' || {_N} || summary || {_N} || {_N} || 'Подробности / old-new diff:' || {_N} || body || {_N} AS report,
     '# Отчёт об изменении · событие #' || id || {_N} || {_N} || '- Время: ' || {_AT} || {_N} || '- Тип: `' || kind || '`' || {_N} || '- Важность: `' || severity || '`' || {_N} || '- Документ: ' || coalesce(title, 'Документ') || {_N} || '- URL: ' || coalesce(url, 'нет данных') || {_N} || {_N} || '## Кратко' || {_N} || {_N} || summary || {_N} || {_N} || '## До / после (unified diff)' || {_N} || {_N}
-      || CASE WHEN starts_with(body, '@@') THEN '```diff' || {_N} || body || {_N} || '```' ELSE body END || {_N} AS report_md FROM r""", "change_log", "documents_dim")
+      || CASE WHEN starts_with(body, '@@') THEN '```diff' || {_N} || body || {_N} || '```' ELSE body END || {_N} AS report_md FROM r)"""
+
+
+@query("event_report", _REPORTS + " SELECT id, kind, report, report_md FROM p", "change_log", "documents_dim")
 def event_report(x: Inputs) -> DataFrame:
     return reports(x)
 
 
+@query("report_sink", _REPORTS + " SELECT id AS event_id, kind, length(report_md)::BIGINT AS n_chars, sha256(report_md) AS sha256 FROM p", "change_log", "documents_dim")
+def report_sink(x: Inputs) -> DataFrame:
+    """A report per event, stored and read again."""
+    path = tables.fresh_path(x.spark, "reports")
+    tables.write_reports(reports(x).select(F.col("id").alias("event_id"), "kind", F.col("report_md").alias("report")), path)
+    stored = x.spark.read.schema("event_id long, report string, kind string").parquet(path)
+    return stored.select("event_id", "kind", F.length("report").cast("long").alias("n_chars"), F.sha2("report", 256).alias("sha256"))
+
+
 @query("attachment_text_clean", r"SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS digest FROM documents")
 def attachment_text_clean(x: Inputs) -> DataFrame:
     return x.table("documents").select("doc_id", F.sha2(text.clean_attachment_text(F.col("text")), 256).alias("digest"))
@@ -187,46 +202,70 @@ _UNESCAPED = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '
 
 @query("page_title", "SELECT page_id, " + _UNESCAPED.format("title") + " AS title FROM (SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(nullif(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), ''), regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM pages)")
 def page_title(x: Inputs) -> DataFrame:
-    return html.parse_pages(x.table("pages")).select("page_id", "title")
+    return html.parse_pages(x.table("pages"), "title").select("page_id", "title")
 
 
-@query("page_category")
+@query("page_category", "SELECT page_id, 'Cat ' || (page_id % 11) AS category FROM pages")
 def page_category(x: Inputs) -> DataFrame:
-    return html.parse_pages(x.table("pages")).select("page_id", "category")
+    return html.parse_pages(x.catalog_pages, "category").select("page_id", "category")
+
 
+def links_of(pages: DataFrame, prefix: str) -> DataFrame:
+    """(page_id, kind, target, title): canonical links in a page's content root, the first of each.
 
-def links_of(x: Inputs, in_root: bool) -> DataFrame:
-    """Classified, canonical links of pages, the first of each; only those in the content root, or all."""
-    each = html.parse_pages(x.table("pages")).select("page_id", "url", F.posexplode("links").alias("pos", "link")).where(F.col("link.in_root") | F.lit(not in_root))
+    Files are attachments wherever they are; what else lies under the prefix, but for the
+    page itself, is a document link.
+    """
+    each = html.parse_pages(pages, "links").select("page_id", "url", F.posexplode("links").alias("pos", "link")).where("link.in_root")
     target = urls.canonicalize(F.col("link.url"))
     named = F.coalesce(F.nullif("link.title", F.lit("")), F.regexp_extract(target, r"([^/]*)$", 1))
     links = each.select("page_id", "pos", target.alias("target"), named.alias("title"), urls.canonicalize(F.col("url")).alias("own"))
-    kind = F.when(urls.is_attachment(F.col("target")), "attachment").when(F.col("target") != F.col("own"), "document")
-    first = links.withColumn("kind", kind).where("kind is not null").groupBy("page_id", "kind", "target").agg(F.min("pos").alias("pos"), F.min_by("title", "pos").alias("title"))
-    return first.withColumn("pos", F.col("pos").cast("long"))
+    inside = F.col("target").startswith(prefix.rstrip("/") + "/") & (F.col("target") != F.col("own"))
+    kind = F.when(urls.is_attachment(F.col("target")), "attachment").when(inside, "document")
+    return links.withColumn("kind", kind).where("kind is not null").groupBy("page_id", "kind", "target").agg(F.min_by("title", "pos").alias("title"))
+
 
+#: What the pages of the catalogue link to: their children in the tree, above each fifth page its parent, a file, and what doesn't count.
+CATALOG_LINKS = f""", n AS (SELECT max(page_id) + 1 AS n FROM pages), u AS (SELECT page_id AS k, {CATALOG_URL.format('page_id', '//')} AS url, 8 * page_id >= n AS leaf FROM pages, n),
+    l AS (SELECT p.k AS page_id, 'document' AS kind, c.url AS target, 'Page ' || c.k AS title, c.k AS child FROM u p JOIN u c ON c.k // 8 = p.k AND c.k > 0
+      UNION ALL SELECT c.k, 'document', p.url, 'Back', p.k FROM u c JOIN u p ON c.k // 8 = p.k WHERE c.k % 5 = 0 AND p.k > 0
+      UNION ALL SELECT k, 'attachment', 'https://docs.example.test/files/' || k || '.pdf', 'File ' || k, NULL FROM u)"""
 
-@query("page_links", rf""", l AS (SELECT page_id, pos, {_CANONICAL.format('target')} AS target, title, {_CANONICAL.format('page_url')} AS own FROM page_links),
-    k AS (SELECT *, CASE WHEN regexp_matches(lower(target), '\.(pdf|odt|docx?|xlsx?|zip|rar|7z)$') THEN 'attachment' WHEN target <> own THEN 'document' END AS kind FROM l)
-    SELECT page_id, kind, target, min(pos) AS pos, min_by(title, pos) AS title FROM k WHERE kind IS NOT NULL GROUP BY page_id, kind, target""", "page_links")
+
+@query("page_links", CATALOG_LINKS.replace(", n AS", "WITH RECURSIVE n AS", 1) + " SELECT page_id, kind, target, title FROM l")
 def page_links(x: Inputs) -> DataFrame:
-    """All links: in these pages none stands in the content root."""
-    return links_of(x, False)
+    return links_of(x.catalog_pages, CATALOG)
+
+
+@query("catalog_bfs", CATALOG_LINKS.replace(", n AS", "WITH RECURSIVE n AS", 1) + """, r AS (SELECT 0::BIGINT AS k UNION SELECT l.child FROM r JOIN l ON l.page_id = r.k JOIN u ON u.k = l.child WHERE r.k % 11 <> 3 AND NOT u.leaf)
+    SELECT DISTINCT l.target AS url FROM r JOIN l ON l.page_id = r.k JOIN u ON u.k = l.child WHERE r.k % 11 <> 3 AND u.leaf""")
+def catalog_bfs(x: Inputs) -> DataFrame:
+    """The documents of a catalogue of pages; one category is muted."""
+    pages = html.parse_pages(x.catalog_pages, "category").select("page_id", "url", "category")
+    links = tables.written(links_of(x.catalog_pages, CATALOG), "page-links").where("kind = 'document'").join(pages.select("page_id", "url").hint("merge"), "page_id")
+    root = x.spark.range(1).select(F.lit(CATALOG).alias("node"))
+    muted = pages.where(text.category_key(F.col("category")) == "cat 3").select(F.col("url").alias("node"))
+    found = discover(links.select(F.col("url").alias("src"), F.col("target").alias("dst"), urls.is_document_url(F.col("target"), CATALOG).alias("is_document")), root, tables.written(muted, "muted"))
+    return found.select(F.col("node").alias("url"))
+
+
+#: The pieces of text in the article, each without white space at its ends, for DuckDB.
+_PIECES = r"list_filter(list_transform(regexp_split_to_array(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<[^>]*>'), lambda t: trim(t, ' ' || chr(9) || chr(10) || chr(13))), lambda t: t <> '')"
 
 
-@query("content_root")
+@query("content_root", "SELECT page_id, 'article' AS root_tag, length(" + _UNESCAPED.format(f"array_to_string({_PIECES}, ' ')") + ")::BIGINT AS root_chars FROM pages")
 def content_root(x: Inputs) -> DataFrame:
-    return html.parse_pages(x.table("pages")).select("page_id", "root_tag", "root_chars")
+    return html.parse_pages(x.table("pages"), "root_tag", "root_chars").select("page_id", "root_tag", "root_chars")
 
 
 @query("normalize_html")
 def normalize_html(x: Inputs) -> DataFrame:
-    return html.parse_pages(x.table("pages")).select("page_id", "normalized_html", F.sha2("normalized_html", 256).alias("html_sha256"))
+    return html.parse_pages(x.table("pages"), "normalized_html").select("page_id", "normalized_html", F.sha2("normalized_html", 256).alias("html_sha256"))
 
 
 @query("semantic_text")
 def semantic_text(x: Inputs) -> DataFrame:
-    return html.parse_pages(x.table("pages")).select("page_id", "semantic_text", F.sha2("semantic_text", 256).alias("semantic_sha256"), "error")
+    return html.parse_pages(x.table("pages"), "semantic_text").select("page_id", "semantic_text", F.sha2("semantic_text", 256).alias("semantic_sha256"), "error")
 
 
 @query("unified_diff")

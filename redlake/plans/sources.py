@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from redlake.functions import html, urls
-from redlake.functions.text import sha256
+from redlake.functions.text import clean_attachment_text, sha256
 from redlake.operators import events as ev
 from redlake.operators import versions
 from redlake.sources import blobs, state, tables
@@ -133,7 +133,7 @@ def run_log(x: Inputs) -> DataFrame:
     return log.groupBy("trigger").agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("finished").alias("n_finished"), F.count("error").alias("n_failed"))
 
 
-@query("delivery_ledger", ", b AS (SELECT id AS event_id, chat_id FROM change_log, recipients WHERE status = 'approved' AND kind = 'document_added') SELECT DISTINCT event_id, chat_id FROM b WHERE (event_id, chat_id) NOT IN (SELECT event_id, chat_id FROM deliveries) UNION ALL SELECT event_id, chat_id FROM deliveries", "deliveries")
+@query("delivery_ledger", ", b AS (SELECT id AS event_id, chat_id FROM change_log, recipients WHERE status = 'approved' AND kind = 'document_added') SELECT DISTINCT event_id, chat_id FROM b WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.event_id = b.event_id AND d.chat_id = b.chat_id) UNION ALL SELECT event_id, chat_id FROM deliveries", "deliveries")
 def delivery_ledger(x: Inputs) -> DataFrame:
     from redlake.operators import delivery
 
@@ -141,17 +141,6 @@ def delivery_ledger(x: Inputs) -> DataFrame:
     return delivery.new_ledger_rows(x.deliveries, batch.union(batch)).unionByName(x.deliveries)
 
 
-@query("report_sink")
-def report_sink(x: Inputs) -> DataFrame:
-    """One report for each kind's last event, as files, read again."""
-    from redlake.plans.scalars import reports
-
-    last = versions.latest(reports(x).withColumn("k", F.col("kind")), ["k"], "id").select(F.col("id").alias("event_id"), F.col("report_md").alias("report"))
-    path = tables.fresh_path(x.spark, "reports")
-    tables.write_reports(last, path)
-    return x.spark.read.option("wholetext", True).text(path).select(F.col("event_id").cast("long").alias("event_id"), F.length("value").cast("long").alias("n_chars"))
-
-
 @query("purge_errors", "SELECT id, kind FROM change_log WHERE kind NOT IN ('fetch_error', 'storage_error')", "change_log")
 def purge_errors(x: Inputs) -> DataFrame:
     return tables.purge(x.change_log, list(ev.ERRORS)).select("id", "kind")
@@ -166,15 +155,22 @@ def schema_upgrade(x: Inputs) -> DataFrame:
 def attachments(x: Inputs) -> DataFrame:
     """Version rows of attachments whose bytes are ODTs made of the documents' texts."""
     d = x.table("documents").select("doc_id", html.odt_of("text").alias("data"), F.concat(F.lit("https://docs.example.test/"), "source", F.lit("/"), "doc_id", F.lit(".odt")).alias("url"))
-    text = html.extracted("data", F.lit("application/vnd.oasis.opendocument.text"), "url")
-    return d.select("doc_id", F.sha2("data", 256).alias("binary_sha256"), F.octet_length("data").cast("long").alias("content_length"), urls.path_suffix(F.col("url"), F.lit("")).alias("suffix"), text.alias("t"))
+    text = clean_attachment_text(html.extracted("data", F.lit("application/vnd.oasis.opendocument.text"), "url"))
+    return d.select("doc_id", F.sha2("data", 256).alias("binary_sha256"), F.octet_length("data").cast("long").alias("content_length"), urls.path_suffix(F.col("url"), F.lit("")).alias("suffix"), text.alias("text"))
 
 
 @query("attachment_ingest")
 def attachment_ingest(x: Inputs) -> DataFrame:
-    return attachments(x).select("doc_id", "binary_sha256", "content_length", "suffix", F.col("t.sha256").alias("semantic_sha256"), blobs.object_key(F.col("binary_sha256"), F.col("suffix")).alias("object_key"))
+    return attachments(x).select("doc_id", "binary_sha256", "content_length", "suffix", F.when(F.col("text") == "", "").otherwise(F.sha2("text", 256)).alias("semantic_sha256"), blobs.object_key(F.col("binary_sha256"), F.col("suffix")).alias("object_key"))
+
 
+_GAPS = r"'[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'"
 
-@query("odt_text")
+
+@query(
+    "odt_text",
+    f"""SELECT doc_id, length(t)::BIGINT AS n_chars, t AS text FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), chr(10)),
+    lambda x: trim(regexp_replace(x, {_GAPS}, ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM documents)""",
+)
 def odt_text(x: Inputs) -> DataFrame:
-    return attachments(x).select("doc_id", F.length("t.text").cast("long").alias("n_chars"), F.col("t.text").alias("text"))
+    return attachments(x).select("doc_id", F.length("text").cast("long").alias("n_chars"), "text")

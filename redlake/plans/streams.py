@@ -38,3 +38,12 @@ def stream_deliver_once(x: Inputs) -> DataFrame:
     pairs = delivery.fan_out(x.change_log.where("kind = 'document_added'"), delivery.approved(x.recipients)).select(F.col("id").alias("event_id"), "chat_id", F.pmod("id", F.lit(4)).alias("part"))
     again = pairs.withColumn("part", F.col("part") + 2)
     return streams.deliver_once(streams.replay(x.spark, pairs.union(again), "part").select("event_id", "chat_id"))
+
+
+@query("latest_per_interval", "SELECT document_id, time_bucket(INTERVAL 2 SECONDS, created_at) AS start, max_by(kind, (created_at, id)) AS kind FROM change_log WHERE document_id IS NOT NULL GROUP BY ALL HAVING start + INTERVAL 62 SECONDS <= (SELECT max(created_at) FROM change_log WHERE document_id IS NOT NULL)", "change_log")
+def latest_per_interval(x: Inputs) -> DataFrame:
+    """Intervals that the watermark, a minute behind the last event, has passed."""
+    log = x.change_log.where("document_id is not null").withColumn("day", F.col("created_at").cast("date"))
+    stream = streams.replay(x.spark, log, "day").select("document_id", "kind", "created_at", "id")
+    out = streams.drained(streams.latest_per_interval(stream, "document_id", "kind", "created_at", "id"), "latest")
+    return out.select("document_id", F.col("start").cast("timestamp_ntz").alias("start"), "kind")

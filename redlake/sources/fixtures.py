@@ -15,6 +15,12 @@ _KIND = """CASE event_type WHEN 'signup' THEN 'document_added' WHEN 'click' THEN
   WHEN 'error' THEN CASE WHEN event_id % 3 = 0 THEN 'storage_error' ELSE 'fetch_error' END
   ELSE CASE WHEN event_id % 2 = 0 THEN 'attachment_content_changed' ELSE 'document_removed' END END"""
 
+#: The root of a catalogue of pages, and the URL of page {0}, whose parent is page {0} {1} 8: a category if it has children, else a document.
+CATALOG = "https://docs.example.test/docs"
+CATALOG_URL = f"CASE WHEN {{0}} = 0 THEN '{CATALOG}' WHEN 8 * {{0}} < n THEN '{CATALOG}/c' || {{0}} ELSE '{CATALOG}/c' || ({{0}} {{1}} 8) || '/d' || {{0}} END"
+_CHILDREN = "array_join(transform(filter(sequence(8 * page_id, 8 * page_id + 7), i -> i > 0 and i < n), i -> '<a href=\"' || substr(" + CATALOG_URL.format("i", "div") + ", 26) || '/\">Page ' || i || '</a>'), ' ')"
+_BACK = "CASE WHEN page_id > 0 AND page_id % 5 = 0 THEN '<a href=\"' || " + CATALOG_URL.format("(page_id div 8)", "div") + " || '\">Back</a>' ELSE '' END"
+
 #: name -> (tables it reads, fixtures it reads, Spark SQL, DuckDB SQL or None if the Spark text serves both)
 DEFINITIONS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str, str | None]] = {
     "captures": (
@@ -77,6 +83,13 @@ DEFINITIONS: dict[str, tuple[tuple[str, ...], tuple[str, ...], str, str | None]]
         "SELECT o_orderkey AS id, o_orderdate AS started_at, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate + make_dt_interval(0, 0, 0, cast(o_orderkey % 600 AS decimal(18,6))) END AS finished_at, o_orderpriority AS trigger FROM {orders}",
         "SELECT o_orderkey AS id, o_orderdate AS started_at, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderdate + to_seconds(o_orderkey % 600) END AS finished_at, o_orderpriority AS trigger FROM orders",
     ),
+    "catalog_pages": (
+        ("pages",), (),
+        f"""SELECT page_id, url, replace(html, '<article>', '<div class="breadcrumbs"><a href="/">Home</a> <a href="' || url || '">Cat ' || (page_id % 11) || '</a></div><article><p>' || {_CHILDREN} || {_BACK}
+          || '<a href="/files/' || page_id || '.pdf">File ' || page_id || '</a> <a href="https://other.example.test/docs/x">Out</a> <a href="' || url || '#top">Self</a> <a href="/docs/">All</a></p>') AS html
+          FROM (SELECT page_id, {CATALOG_URL.format("page_id", "div")} AS url, html, n FROM {{pages}}, (SELECT max(page_id) + 1 AS n FROM {{pages}}))""",
+        None,
+    ),
     "page_links": (
         ("pages",), (),
         r"""SELECT page_id, url AS page_url, cast(pos AS bigint) AS pos, concat(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1), href) AS target, title FROM (

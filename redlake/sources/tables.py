@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Mapping
@@ -14,32 +15,40 @@ def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scan_jdbc(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, partitions: int) -> DataFrame:
-    """A table of an external store, read in ranges of a numeric column, one task each."""
-    options = {"url": url, "dbtable": table, "partitionColumn": column, "lowerBound": str(lower), "upperBound": str(upper), "numPartitions": str(partitions)}
-    return spark.read.format("jdbc").options(**options).load()
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set."""
+    """The folder that driver and executors share; a local one is made only where all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='redlake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/redlake/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/redlake/{label}-{uuid.uuid4().hex}"
+    return f"{_own_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written to the shared folder and read back."""
+def written(df: DataFrame, label: str, zstd: bool = False) -> DataFrame:
+    """df, written to the shared folder and read back: lineage is cut, sizes are known,
+    and the rows stay the same however often they are read or executors are lost."""
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd" if zstd else None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Deletes what this application wrote between steps. For the end of a job, when its results are stored elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checked(df: DataFrame, most: int = 100_000) -> DataFrame:
     """df for a join: broadcast if it has at most `most` rows, which is counted; a larger one is shuffled."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -56,9 +65,14 @@ def append_run(spark: SparkSession, path: str, **row: object) -> None:
     spark.createDataFrame([tuple(row.get(c.split()[0]) for c in fields.split(", "))], fields).coalesce(1).write.mode("append").parquet(path)
 
 
-def write_reports(reports: DataFrame, path: str, key: str = "event_id", text: str = "report") -> None:
-    """A Markdown file per event."""
-    reports.select(key, F.col(text).alias("value")).write.partitionBy(key).option("lineSep", "\n").text(path)
+def write_reports(reports: DataFrame, path: str) -> None:
+    """A Markdown report per event, a record each, by kind: as many files as the log's size asks for."""
+    reports.select("event_id", "kind", "report").write.partitionBy("kind").parquet(path)
+
+
+def export_reports(reports: DataFrame, path: str) -> None:
+    """A Markdown file per event, for a page of events; `wholetext` reads a file as one row."""
+    reports.select("event_id", F.col("report").alias("value")).write.partitionBy("event_id").text(path)
 
 
 def schema_upgrade(old: DataFrame, columns: Mapping[str, object]) -> DataFrame:

@@ -5,11 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from redlake.operators.delivery import new_ledger_rows
 from redlake.sources.tables import fresh_path, written
 
 CHANGES = "key long, run long, change string"
@@ -47,11 +46,11 @@ def latest_per_interval(events: DataFrame, key: str, value: str, time: str, orde
 
 
 def replay(spark: SparkSession, df: DataFrame, run: str) -> DataFrame:
-    """A table as a stream: one file for each value of a column (runs, days: few), in their order, as they would arrive."""
+    """A table as a stream: files for each value of a column (runs, days: few), written in their order, as they would arrive."""
     rows, path = written(df, "replayed"), fresh_path(spark, "stream")
     for (value,) in rows.select(run).distinct().orderBy(run).collect():
-        rows.where(F.col(run) == F.lit(value)).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 8).parquet(path)
+        rows.where(F.col(run) == F.lit(value)).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 32).parquet(path)
 
 
 def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
@@ -63,55 +62,44 @@ def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def each_batch(stream: DataFrame, label: str, f: Callable[[DataFrame, int], None]) -> None:
-    path = fresh_path(stream.sparkSession, label)
-    stream.writeStream.foreachBatch(f).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start().awaitTermination()
+def each_batch(stream: DataFrame, path: str, f: Callable[[DataFrame, int], None]) -> None:
+    stream.writeStream.foreachBatch(f).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
 
 
 def deliver_once(stream: DataFrame) -> DataFrame:
     """A stream of (event_id, chat_id), repeats and all -> the ledger, each pair once.
 
-    A batch is written under its own number, so a batch that is run again replaces itself.
+    What is booked is state by key, so a batch looks up its own pairs only; the file sink
+    takes no batch twice.
     """
-    spark = stream.sparkSession
-    path = fresh_path(spark, "ledger")
-    schema = "event_id long, chat_id long, batch long"
-
-    def book(batch: DataFrame, number: int) -> None:
-        ledger = spark.createDataFrame([], schema) if number == 0 else spark.read.schema(schema).parquet(*[f"{path}/{i}" for i in range(number)])
-        new_ledger_rows(ledger.select("event_id", "chat_id"), batch).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/{number}")
+    return drained(stream.select("event_id", "chat_id").dropDuplicates(["event_id", "chat_id"]), "ledger")
 
-    each_batch(stream, "ledger", book)
-    return spark.read.schema(schema).parquet(f"{path}/*").select("event_id", "chat_id")
 
-
-def presence_by_runs(captures: DataFrame, run_numbers: DataFrame, runs: int = 2) -> DataFrame:
+def presence_by_runs(captures: DataFrame, run_numbers: DataFrame, runs: int = 2, path: str | None = None) -> DataFrame:
     """(key, run, kind), kept by a state table that each micro-batch of sightings moves on.
 
-    State holds each key's last run. A batch of later sightings tells gaps; what is missing at
-    the end is told by the last run.
+    State holds each key's last run, under the number of its batch; progress, state and events
+    are all under `path`, so a job that is started again there goes on where it was. A batch of
+    later sightings tells gaps; what is missing at the end is told by the last run.
     """
     spark = captures.sparkSession
-    path, schema = fresh_path(spark, "presence"), "key long, seen long"
+    path, schema = path or fresh_path(spark, "presence"), "key long, seen long, batch long"
     out = "key long, run long, kind string"
 
     def move(batch: DataFrame, number: int) -> None:
         old = spark.createDataFrame([], schema) if number == 0 else spark.read.schema(schema).parquet(f"{path}/state/{number - 1}")
-        rows = batch.select("key", F.col("run").alias("seen")).distinct().unionByName(old)
-        from pyspark.sql import Window
-
+        rows = batch.select("key", F.col("run").alias("seen")).distinct().unionByName(old.drop("batch"))
         later = rows.withColumn("next", F.lead("seen").over(Window.partitionBy("key").orderBy("seen"))).where(F.col("next") - F.col("seen") > runs)
         removed = later.select("key", (F.col("seen") + runs).alias("run"), F.lit("document_removed").alias("kind"))
         restored = later.select("key", F.col("next").alias("run"), F.lit("document_restored").alias("kind"))
         removed.unionByName(restored).write.mode("overwrite").parquet(f"{path}/events/{number}")
-        rows.groupBy("key").agg(F.max("seen").alias("seen")).write.mode("overwrite").parquet(f"{path}/state/{number}")
-        last_batch.append(number)
+        rows.groupBy("key").agg(F.max("seen").alias("seen")).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/state/{number}")
 
-    last_batch: list[int] = []
-    each_batch(captures, "presence", move)
-    if not last_batch:
-        return spark.createDataFrame([], out)
+    move(spark.createDataFrame([], "key long, run long"), 0)  # batches of the stream follow it
+    each_batch(captures, path, lambda batch, number: move(batch, number + 1))
+    states = spark.read.schema(schema).parquet(f"{path}/state/*")
+    newest = states.agg(F.max("batch").alias("batch"))
     last = run_numbers.agg(F.max("run").alias("last"))
-    state = spark.read.schema(schema).parquet(f"{path}/state/{last_batch[-1]}").crossJoin(F.broadcast(last))
+    state = states.join(F.broadcast(newest), "batch").crossJoin(F.broadcast(last))
     gone = state.where(F.col("last") - F.col("seen") >= runs).select("key", (F.col("seen") + runs).alias("run"), F.lit("document_removed").alias("kind"))
     return spark.read.schema(out).parquet(f"{path}/events/*").unionByName(gone)
