@@ -18,20 +18,32 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 30
 #: A line this long may lack a final mark: it is a wrapped paragraph, not a label.
 FREE_WORDS = 10
-#: A line of this many characters is a paragraph; what it mentions doesn't make it boilerplate.
-LONG_LINE = 400
+#: A phrase makes a line boilerplate if the line is at most so many times as long: a paragraph may mention what it likes.
+PHRASE_REACH = 10
 
 # Fixed values.
 HAS_WORD = r"[^\x20\x09-\x0D]"
 FINAL_MARKS = tuple(".!?:;…。！？\"'”’»)]")
 SYMBOL = r"[#$%&*<>|]"
 SYMBOLS = "#*$%&|<>"
+#: Marks in a row, and capitals in a row, that make a line worth counting.
+RULE = r"[^\p{L}\p{N}\x20\x09-\x0D]{4}"
+CAPITALS = r"\p{Lu}{4}"
 SHOUT = "!! "
 SEPARATORS = ("|", "»", "·", "›")
-MENU_LINES = ("home", "menu", "next", "previous", "share", "login", "log in", "sign in", "sign up", "read more", "back to top", "skip to content")
+LINKS = ("http://", "https://", "www.")
+MENU_LINES = (
+    "home", "menu", "next", "previous", "share", "login", "log in", "sign in", "sign up", "read more", "back to top", "skip to content",
+    "accueil", "suivant", "précédent", "partager", "connexion", "s'inscrire", "lire la suite", "haut de page",
+    "startseite", "menü", "weiter", "zurück", "teilen", "anmelden", "registrieren", "mehr lesen", "nach oben",
+    "inicio", "menú", "siguiente", "anterior", "compartir", "iniciar sesión", "registrarse", "leer más", "volver arriba",
+)
 BOILERPLATE = (
     "lorem ipsum", "enable javascript", "cookie policy", "use of cookies", "uses cookies", "privacy policy", "terms of use", "terms of service",
     "all rights reserved", "subscribe to our newsletter", "click here", "copyright ©", "copyright (c)",
+    "activer javascript", "utilise des cookies", "politique de confidentialité", "conditions d'utilisation", "tous droits réservés", "abonnez-vous à notre", "cliquez ici",
+    "javascript aktivieren", "verwendet cookies", "datenschutzerklärung", "nutzungsbedingungen", "alle rechte vorbehalten", "newsletter abonnieren", "hier klicken",
+    "activar javascript", "utiliza cookies", "política de privacidad", "condiciones de uso", "todos los derechos reservados", "suscríbete a nuestro", "haz clic aquí",
 )
 
 
@@ -44,32 +56,47 @@ def _word_chars(text: Column) -> Column:
     return F.length(without(text, GAP_CHARS))
 
 
+def _kept(line: Column, pattern: str) -> Column:
+    """Characters of a line that a class has."""
+    return F.length(F.regexp_replace(line, f"[^{pattern}]+", ""))
+
+
 def failed_rule(line: Column) -> Column:
     """The first rule that a line fails, or null. A line without a word fails none.
 
-    Cheap searches come first; words are counted only where a search found something.
+    punctuation: too many symbols a word; marks that outnumber letters and digits; shouting;
+    few words without a final mark. navigation: separators, a menu's words, links for a third
+    of the words. boilerplate: a phrase that makes up enough of the line; mostly capitals.
+    Cheap searches come first; what costs more is counted only where a search found something.
     """
     n_words = F.size(split_words(line))
     symbols = F.length(line) - F.length(without(line, SYMBOLS))
-    short = F.length(line) < LONG_LINE
     last = F.substring(F.rtrim(line, F.lit(GAP_CHARS)), -1, 1)
-    navigation = F.lit(False)
+    navigation, links = F.lit(False), F.lit(0)
     for c in SEPARATORS:
         navigation |= F.contains(line, F.lit(c)) & (_count(line, c) >= 3)
+    for c in LINKS:
+        links = links + F.when(F.contains(line, F.lit(c)), _count(line, c)).otherwise(0)
     menu = (F.length(line) < 24) & F.lower(F.btrim(line, F.lit(GAP_CHARS))).isin(*MENU_LINES)
+    linked = (F.contains(line, F.lit("http")) | F.contains(line, F.lit("www."))) & (3 * links >= n_words)
+    marks = line.rlike(RULE) & (2 * _kept(line, r"\p{L}\p{N}") < F.length(without(line, GAP_CHARS)))
+    capitals = line.rlike(CAPITALS) & (n_words > 1) & (10 * _kept(line, r"\p{Lu}") > 7 * _kept(line, r"\p{L}"))
 
     def boilerplate(low: Column) -> Column:
         found = F.lit(False)
         for phrase in BOILERPLATE:
-            found |= F.contains(low, F.lit(phrase))
+            found |= F.contains(low, F.lit(phrase)) & (F.length(low) <= PHRASE_REACH * len(phrase))
         return found
 
+    longest = PHRASE_REACH * max(map(len, BOILERPLATE))
     return (
         F.when(line.rlike(SYMBOL) & (10 * symbols > 3 * n_words), F.when(line.rlike(HAS_WORD), F.lit("punctuation")))
+        .when(marks, F.lit("punctuation"))
         .when(F.contains(line, F.lit(SHOUT)) & (2 * _count(line, SHOUT) > n_words), F.lit("punctuation"))
-        .when(navigation | menu, F.lit("navigation"))
-        .when(short & bind(F.lower(line), boilerplate), F.lit("boilerplate"))
-        .when(short & ~last.isin(*FINAL_MARKS) & line.rlike(HAS_WORD) & (n_words < FREE_WORDS), F.lit("punctuation"))
+        .when(navigation | menu | linked, F.lit("navigation"))
+        .when((F.length(line) <= longest) & bind(F.lower(line), boilerplate), F.lit("boilerplate"))
+        .when(capitals, F.lit("boilerplate"))
+        .when(~last.isin(*FINAL_MARKS) & line.rlike(HAS_WORD) & (n_words < FREE_WORDS), F.lit("punctuation"))
     )
 
 
@@ -173,10 +200,12 @@ r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i +
 l AS (SELECT rid, line, lower(line) AS low, len(list_filter(regexp_split_to_array(line, {_sql(GAP)}), lambda x: x <> '')) AS k, length(regexp_replace(line, {_sql(NOT_SYMBOL)}, '', 'g')) AS s
   FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t)),
 j AS (SELECT rid, line, CASE WHEN k = 0 THEN NULL
-    WHEN 10 * s > 3 * k OR 2 * len(regexp_extract_all(line, {_sql(SHOUT)})) > k THEN 'punctuation'
-    WHEN {" OR ".join(f"len(string_split(line, {_sql(c)})) > 3" for c in SEPARATORS)} OR regexp_replace(low, {_sql(OUTER_GAP)}, '', 'g') IN ({", ".join(map(_sql, MENU_LINES))}) THEN 'navigation'
-    WHEN length(line) < {LONG_LINE} AND ({" OR ".join(f"contains(low, {_sql(x)})" for x in BOILERPLATE)}) THEN 'boilerplate'
-    WHEN right(regexp_replace(line, {_sql(OUTER_GAP)}, '', 'g'), 1) NOT IN ({', '.join(map(_sql, FINAL_MARKS))}) AND k < {FREE_WORDS} AND length(line) < {LONG_LINE} THEN 'punctuation' END AS rule, k FROM l),
+    WHEN 10 * s > 3 * k OR (regexp_matches(line, {_sql(RULE)}) AND 2 * length(regexp_replace(line, {_sql(r"[^\p{L}\p{N}]+")}, '', 'g')) < length(regexp_replace(line, {_sql(GAP)}, '', 'g'))) OR 2 * len(regexp_extract_all(line, {_sql(SHOUT)})) > k THEN 'punctuation'
+    WHEN {" OR ".join(f"len(string_split(line, {_sql(c)})) > 3" for c in SEPARATORS)} OR regexp_replace(low, {_sql(OUTER_GAP)}, '', 'g') IN ({", ".join(map(_sql, MENU_LINES))})
+      OR (regexp_matches(line, 'http|www[.]') AND 3 * ({" + ".join(f"len(string_split(line, {_sql(c)})) - 1" for c in LINKS)}) >= k) THEN 'navigation'
+    WHEN {" OR ".join(f"(contains(low, {_sql(x)}) AND length(low) <= {PHRASE_REACH * len(x)})" for x in BOILERPLATE)} THEN 'boilerplate'
+    WHEN k > 1 AND regexp_matches(line, {_sql(CAPITALS)}) AND 10 * length(regexp_replace(line, {_sql(r"[^\p{Lu}]+")}, '', 'g')) > 7 * length(regexp_replace(line, {_sql(r"[^\p{L}]+")}, '', 'g')) THEN 'boilerplate'
+    WHEN right(regexp_replace(line, {_sql(OUTER_GAP)}, '', 'g'), 1) NOT IN ({', '.join(map(_sql, FINAL_MARKS))}) AND k < {FREE_WORDS} THEN 'punctuation' END AS rule, k FROM l),
 a AS (SELECT rid, count(*) FILTER (k > 0) AS n_lines, count(DISTINCT line) FILTER (k > 0) AS n_distinct, count(*) FILTER (rule = 'punctuation') AS n_punctuation,
     count(*) FILTER (rule = 'navigation') AS n_navigation, count(*) FILTER (rule = 'boilerplate') AS n_boilerplate,
     coalesce(sum(length(regexp_replace(line, {_sql(GAP)}, '', 'g'))) FILTER (rule IS NOT NULL), 0)::BIGINT AS lost_chars FROM j GROUP BY rid),
