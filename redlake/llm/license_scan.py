@@ -11,6 +11,7 @@ Everything is one projection over the scan: no shuffle, no Python.
 from __future__ import annotations
 
 import itertools
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,12 @@ from .common import bind, lower_ascii, table
 #: ASCII characters that are in no word. The upper-case letters are words' characters too.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A text with a license has one of these, in lower case, whatever the rule.
-GATE = ("licen", "gpl", "creative", "spdx", "unlicense", "mpl", "eupl", "cddl", "apache", "cc", "domain", "rights", "hereby", "unencumbered", "redistribution")
+GATE = (
+    "licen", "gpl", "creative", "spdx", "mpl", "eupl", "cddl", "apache", "domain", "rights", "hereby", "unencumbered", "redistribution", "endorse", "verbatim", "prohibited", "proprietary",
+    "copyright", "merchantability", "acknowledgement", "misrepresented", "liable", "reproduction", "invariant", "distribute", "beer", "openssl", "wtfpl",
+)
+#: "cc" is in too many words to be one; it has to be followed so.
+GATE_CC = r"cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
 #: Short names that mean a license by themselves.
 SHORT = ("gpl", "lgpl", "agpl", "mpl", "eupl", "cddl", "apache")
 #: The phrases that every scan counts. Fixed values.
@@ -47,6 +53,72 @@ CC_KINDS = ("by", "by-sa", "by-nc", "by-nd", "by-nc-sa", "by-nc-nd")
 CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
 
+# What licenses and the headers of files say: label, priority, keyword and words as a pattern; (a|b) are alternatives, (a)? may be left out. Fixed values.
+SIGNATURES = (
+    ("mit", 4, "hereby", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 4, "notice", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 4, "noninfringement", "merchantability fitness for a particular purpose and noninfringement"),
+    ("mit", 3, "license", "this (project|software|library|package|code) is licensed under the (terms of the)? mit license"),
+    ("bsl-1.0", 4, "hereby", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("isc", 4, "hereby", "permission to use copy modify and (or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd", 4, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", 3, "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", 3, "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", 4, "endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", 4, "endorse", "the names of its contributors may (not)? be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", 4, "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("zlib", 4, "liable", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", 4, "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("apache-2.0", 4, "compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", 4, "apache", "licensed under the apache license version 2 0 the license"),
+    ("apache-2.0", 4, "apache", "http www apache org licenses license 2 0"),
+    ("apache-2.0", 3, "asf", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2.0", 3, "reproduction", "terms and conditions for use reproduction and distribution"),
+    ("gpl-3.0-or-later", 4, "gnu", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl-2.0-or-later", 4, "gnu", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-2.0-only", 4, "gnu", "under the terms of (the)? (version 2 of)? the gnu general public license version 2 as published by the free software foundation"),
+    ("lgpl-3.0-or-later", 4, "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl-2.1-or-later", 4, "lesser", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("agpl-3.0-or-later", 4, "affero", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", 3, "gnu", "you should have received a copy of the gnu general public license along with this (program|library|software)"),
+    ("lgpl", 3, "lesser", "you should have received a copy of the gnu lesser general public license along with this (program|library|software)"),
+    ("agpl", 3, "affero", "you should have received a copy of the gnu affero general public license along with this (program|library|software)"),
+    ("gpl", 2, "verbatim", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gpl", 2, "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gfdl", 4, "invariant", "with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2.0", 4, "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2.0", 3, "mozilla", "you can obtain one at (http|https) mozilla org mpl 2 0"),
+    ("mpl-1.1", 4, "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl-2.0", 4, "eclipse", "are made available under the terms of the eclipse public license (v|version)? 2 0"),
+    ("epl-1.0", 4, "eclipse", "are made available under the terms of the eclipse public license v1 0"),
+    ("cddl-1.0", 4, "common", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("ofl-1.1", 4, "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("artistic-2.0", 4, "artistic", "you may distribute under the terms of the artistic license 2 0"),
+    ("unlicense", 4, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", 3, "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", 4, "want", "do what the (fuck|heck) you want to public license"),
+    ("beerware", 4, "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("cc", 3, "creative", "this work is licensed under (a|the) creative commons"),
+    ("cc0-1.0", 4, "waived", "has waived all copyright and related or neighboring rights to"),
+    ("public-domain", 3, "domain", "(released|placed|dedicated) (into|in|to) the public domain"),
+    ("psf-2.0", 4, "python", "this license agreement is between the python software foundation"),
+    ("openssl", 4, "openssl", "this product includes software developed by the openssl project"),
+    ("proprietary", 3, "prohibited", "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", 3, "proprietary", "proprietary and confidential"),
+)
+
+
+def _signature(words: str) -> str:
+    """A pattern of whole words; an alternative is one or more words."""
+    out = []
+    for part in re.findall(r"\([^)]*\)\??|\S+", words):
+        if part.startswith("("):
+            out.append("(?:" + "|".join(_words(x) for x in part.strip("()?").split("|")) + ")" + "?" * part.endswith("?"))
+        else:
+            out.append(f" {part} ")
+    return "".join(out)
+
+
 def _words(phrase: str) -> str:
     return "".join(f" {w} " for w in phrase.split())
 
@@ -93,8 +165,9 @@ def rules() -> list[dict]:
         found += [(f" cc {_words(' '.join(kind.split('-')))}", "cc", f"cc-{kind}", 2), (f" creative  commons {_words(CC_PARTS['by'])}", "commons", "cc-by", 1)]
     found += [
         (" cc0 ", "cc0", "cc0-1.0", 3), (" creative  commons  zero ", "commons", "cc0-1.0", 3), (" public  domain ", "domain", "public-domain", 1),
-        (" permission  is  hereby  granted  free  of  charge ", "hereby", "mit", 4), (" this  is  free  and  unencumbered  software ", "unencumbered", "unlicense", 4),
-        (" redistribution  and  use  in  source  and  binary  forms ", "redistribution", "bsd", 4), (" all  rights  reserved ", "reserved", "proprietary", 1),
+        (" permission  is  hereby  granted  free  of  charge ", "hereby", "mit", 3), (" this  is  free  and  unencumbered  software ", "unencumbered", "unlicense", 3),
+        (" redistribution  and  use  in  source  and  binary  forms ", "redistribution", "bsd", 2), (" all  rights  reserved ", "reserved", "proprietary", 1),
+        *((_signature(words), key, label, priority) for label, priority, key, words in SIGNATURES),
     ]
     out = [{"pattern": _words(p), "keyword": p.split()[0], "label": label, "priority": 1, "base": True} for p, label in BASE]
     seen = set()
@@ -157,7 +230,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         found = F.lit(False)
         for key in GATE:
             found |= F.contains(low, F.lit(key))
-        return found
+        return found | (F.contains(low, F.lit("cc")) & low.rlike(GATE_CC))
 
     def norm(text: Column) -> Column:
         words = F.filter(F.split(lower_ascii(text), SEPARATOR, -1), lambda w: w != "")
