@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import sliced, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pieces that a worker remembers; beyond that it starts anew. Results don't depend on it.
@@ -118,11 +118,10 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The ids are decoded again and decoded_sha256 is of those bytes. Null and empty texts have
     no ids. Equal rows get equal results; other columns are not read. No shuffle.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
-        for b in batches:
+        for b in sliced(batches, 500):
             found, n, hashed, back = [], [], [], []
             for t in b.column(1):
                 ids = e.encode(t.as_py() or "")

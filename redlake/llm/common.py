@@ -1,15 +1,15 @@
-"""What the operators share: table access, the shared folder, small column helpers."""
+"""What the operators share: table access, batches, small column helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from redlake.sources.tables import written  # noqa: F401
+
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 GAP = r"[\x20\x09-\x0D]+"
 GAP_CHARS = " \t\n\x0b\x0c\r"
@@ -19,25 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one is made only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='redlake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, label: str, zstd: bool = False) -> DataFrame:
-    """df, written to the shared folder and read back: lineage is cut, sizes are known,
-    and the rows stay the same however often they are read or executors are lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/redlake/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression="zstd" if zstd else None)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def hinted(df: DataFrame, most: int) -> DataFrame:
     """df (written) for a join: broadcast if it has at most `most` rows, else merged."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df.hint("merge")
@@ -89,10 +70,3 @@ def split_words(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case; all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in an Arrow batch than Spark's 10,000, as texts may be long; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
