@@ -2,8 +2,8 @@
 
 At that similarity 64-bit fingerprints differ in 10 bits on average and in up to RADIUS, too
 many for keys of equal blocks. So candidates share a band, five least hashes of BANDS times
-five; their fingerprints are compared bit-sliced, as in `simhash`; and the shingles of each
-pair that is left decide exactly.
+five; their fingerprints are compared bit-sliced, as in `simhash`; and the shingles of what
+is left decide exactly, by text or, within a band, by 64-bit hash.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import hinted, sliced, written
 from .components import components
-from .simhash import SQUARE, fingerprint, sliced_links
+from .simhash import fingerprint, sliced_links
 
 SHINGLE = 5
 MIN_JACCARD = 0.8
@@ -28,6 +28,10 @@ ROWS = 5
 SEED = 42
 #: Differing bits: at MIN_JACCARD 9.7 of 64 on average, with a deviation of 2.9; more in one of 10,000 pairs.
 RADIUS = 21
+#: A band with more texts than this is compared in squares of so many by so many.
+SQUARE = 2048
+#: Shingles whose counts are taken together in a square.
+COLUMNS = 4096
 #: Texts of pairs are picked with a broadcast only if they are this few.
 BROADCAST_TEXTS = 1_000_000
 _RANDOM = np.random.default_rng(SEED)
@@ -107,29 +111,55 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long"), "near-links")
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text) -> (key, s): the hashes of its shingles."""
+    for b in sliced(batches, 200):
+        found = [[xxhash.xxh64_intdigest(x, SEED) - (1 << 63) for x in shingles(words_of(t.as_py()))] for t in b.column(1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["key", "s"])
+
+
+def links_of_group(n: np.ndarray, fps: np.ndarray, roots: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Places i < j of texts in different components with MIN_JACCARD or more: n has their numbers of shingles, sets the hashes of those that others have too."""
+    i, j = sliced_links(fps, RADIUS)
+    keep = (roots[i] != roots[j]) & (np.minimum(n[i], n[j]) >= MIN_JACCARD * np.maximum(n[i], n[j]))
+    i, j = i[keep], j[keep]
+    if not len(i):
+        return i, j
+    # Shingles in common of all those texts: a table of texts by shingles times itself, some columns at a time.
+    rows, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    i2, j2 = np.split(at, 2)
+    every = np.concatenate([sets[r] for r in rows])
+    who = np.repeat(np.arange(len(rows)), [len(sets[r]) for r in rows])
+    column = np.unique(every, return_inverse=True)[1]
+    both = np.zeros((len(rows), len(rows)), dtype=np.float32)
+    for first in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        some = (column >= first) & (column < first + COLUMNS)
+        x = np.zeros((len(rows), COLUMNS), dtype=np.float32)
+        x[who[some], column[some] - first] = 1
+        both += x @ x.T
+    shared = both[i2, j2]
+    good = shared >= MIN_JACCARD * (n[i] + n[j] - shared)
+    return i[good], j[good]
+
+
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (band, lo, hi, key, n, fp, root) -> (a, b): pairs of a group in different components whose fingerprints are near."""
-
-    def pairs(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i, j = sliced_links(np.ascontiguousarray(g[5]).view(np.uint64), RADIUS)
-        alike = np.minimum(g[4, i], g[4, j]) >= MIN_JACCARD * np.maximum(g[4, i], g[4, j])
-        keep = (g[6, i] != g[6, j]) & alike
-        return np.minimum(g[3, i], g[3, j])[keep], np.maximum(g[3, i], g[3, j])[keep]
-
-    def done(rows: np.ndarray, bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for s, e in zip(bounds[:-1], bounds[1:], strict=True):
-            if e - s > 1:
-                a, b = pairs(rows[:, s:e])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    rest = np.zeros((7, 0), dtype=np.int64)
-    for batch in batches:
-        rows = np.concatenate([rest, np.stack([np.asarray(c, dtype=np.int64) for c in batch.columns])], axis=1)
-        if rows.shape[1]:
-            bounds = np.concatenate([[0], np.flatnonzero((rows[:3, 1:] != rows[:3, :-1]).any(axis=0)) + 1])
-            yield from done(rows, bounds)
-            rest = rows[:, bounds[-1] :]
-    yield from done(rest, np.array([0, rest.shape[1]]))
+    """Sorted rows (band, lo, hi, key, n, fp, root, s) -> links (a, b)."""
+
+    def done(group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if len(group) > 1:
+            key, n, fps, root = (np.array(c, dtype=np.int64) for c in list(zip(*group, strict=True))[3:7])
+            i, j = links_of_group(n, fps.view(np.uint64), root, [np.array(r[7], dtype=np.int64) for r in group])
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j]))], names=["a", "b"])
+
+    group: list[tuple] = []
+    for batch in sliced(batches, 1000):
+        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if group and r[:3] != group[0][:3]:
+                yield from done(group)
+                group = []
+            group.append(r)
+    yield from done(group)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,10 +192,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = written(components(links), "near-roots")
     named = met.join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left").select("band", "key", "n", "fp", F.coalesce("root", "key").alias("root"))
     split = named.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("m")).where("r0 < r1").select("band", F.ceil(F.col("m") / SQUARE).cast("long").alias("parts"))
-    left = named.join(split.hint("merge"), "band").withColumn("part", F.pmod(F.xxhash64("key"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    squares = left.select("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key", "n", "fp", "root")
+    left = written(named.join(split.hint("merge"), "band"), "near-left")
+    # Shingles that only one of these texts has are in no common part: a text of too many is like none of them.
+    some = texts.join(hinted(written(left.select("key").distinct(), "near-need"), BROADCAST_TEXTS), "key", "left_semi")
+    each = written(some.mapInArrow(_hashed, "key long, s array<long>"), "near-shingles").select("key", F.explode("s").alias("h"))
+    common = each.groupBy("h").agg(F.min("key").alias("k0"), F.max("key").alias("k1")).where("k0 < k1").select("h")
+    sets = each.join(common.hint("merge"), "h").groupBy("key").agg(F.collect_list("h").alias("s"))
+    rows_left = left.join(sets.hint("merge"), "key").where(F.size("s") >= MIN_JACCARD * F.col("n"))
+    parts = rows_left.withColumn("part", F.pmod(F.xxhash64("key"), "parts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    squares = parts.select("band", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "key", "n", "fp", "root", "s")
     rest = squares.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi").mapInArrow(_close, "a long, b long").distinct()
-    roots = components(links.union(_similar(rest, texts)))
+    roots = components(links.union(rest))
     grouped = chosen.join(roots.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = grouped.join(smallest.hint("merge"), "root").select("key", "component_id")
