@@ -247,7 +247,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", large_group: int =
     """
     text = F.col(text_col)
     texts = docs.where(F.octet_length(text) >= DEPTH).select(F.unhex(F.md5(text.cast("binary"))).alias("owner"), text.alias("text"))
-    every = written(texts.mapInArrow(lambda b: _joined(_places(b), 20_000), "owner binary, core long, at int, n int, place int"), "places")
+    every = written(texts.mapInArrow(lambda b: _joined(_places(b), 20_000), "owner binary, core long, at int, n int, place int"), "places", zstd=True)
     own = F.xxhash64("owner", "at")
     cores = every.groupBy("core").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo < hi").select("core")
     again = written(cores, "cores")
