@@ -198,7 +198,7 @@ def test_common_subsequence():
 def test_repeats_within_a_text(docs):
     rng = random.Random(53)
     passage = " ".join(words(rng, 90))
-    rows = [(1, f"{sentence(rng, 40)} {passage} {sentence(rng, 30)} {passage} {sentence(rng, 20)}"), (2, sentence(rng, 200)), (3, "la la " * 3000), (None, None), (4, "")]
+    rows = [(1, f"{sentence(rng, 40)} {passage} {sentence(rng, 30)} {passage} {sentence(rng, 20)}"), (2, sentence(rng, 200)), (3, (sentence(rng, 12) + " ") * 400), (None, None), (4, "")]
     out = chaining.repeated_passages(docs(rows)).collect()
     assert {(r.doc_id, r.other_id) for r in out} == {(1, 1), (3, 3)}
     assert any(abs(r.start_word - 160) <= 1 and abs(r.other_start - 40) <= 1 for r in out if r.doc_id == 1)
