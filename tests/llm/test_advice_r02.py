@@ -70,18 +70,18 @@ def test_line_rules(docs):
         "TOUTE LA LIGNE EST EN CAPITALES ET NE DIT RIEN DU TOUT.": "boilerplate", "Tous droits réservés par la maison.": "boilerplate", "Alle Rechte vorbehalten.": "boilerplate", "volver arriba": "navigation",
         "see http://a.example/b www.c.example now.": "navigation", "-----=====----- end.": "punctuation", f"{body} we set out our privacy policy here": None, "A plain sentence of some words that ends as it should.": None,
     }
-    for line, rule in lines.items():
-        (r,) = quality_rules.clean_lines(docs([(1, f"{body}\n{line}")])).collect()
-        assert (r.n_boilerplate, r.n_navigation, r.n_punctuation) == tuple(int(rule == x) for x in ("boilerplate", "navigation", "punctuation")), line
+    out = {r.doc_id: (r.n_boilerplate, r.n_navigation, r.n_punctuation) for r in quality_rules.clean_lines(docs([(i, f"{body}\n{line}") for i, line in enumerate(lines)])).collect()}
+    for i, (line, rule) in enumerate(lines.items()):
+        assert out[i] == tuple(int(rule == x) for x in ("boilerplate", "navigation", "punctuation")), line
 
 
 def test_license_texts(docs):
-    for label, _, _, text in license_scan.SIGNATURES:
-        plain = license_scan.re.sub(r"\(([^()|]*)\|?[^()]*\)(\??)", lambda m: "" if m[2] else m[1], text)
-        (r,) = license_scan.scan_licenses(docs([(1, plain)])).collect()
-        assert label in {d.label for d in r.detections}, text
-    (r,) = license_scan.scan_licenses(docs([(1, "to accept success, according to account managers")])).collect()
-    assert not r.places
+    plain = [license_scan.re.sub(r"\(([^()|]*)\|?[^()]*\)(\??)", lambda m: "" if m[2] else m[1], text) for _, _, _, text in license_scan.SIGNATURES]
+    rows = [*enumerate(plain), (-1, "to accept success, according to account managers")]
+    found = {r.doc_id: {d.label for d in r.detections} for r in license_scan.scan_licenses(docs(rows)).collect()}
+    for i, (label, _, _, text) in enumerate(license_scan.SIGNATURES):
+        assert label in found[i], text
+    assert not found[-1]
 
 
 # op3
