@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows in an Arrow batch while a table is written between steps.
+ARROW_ROWS = 1000
+
+
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -38,9 +42,15 @@ def fresh_path(spark: SparkSession, label: str) -> str:
 def written(df: DataFrame, label: str, zstd: bool = False) -> DataFrame:
     """df, written to the shared folder and read back: lineage is cut, sizes are known,
     and the rows stay the same however often they are read or executors are lost."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path, compression="zstd" if zstd else None)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path, key = df.sparkSession, fresh_path(df.sparkSession, label), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    # Rows may be long texts: fewer go to Python at once while this is written.
+    was = int(spark.conf.get(key))
+    spark.conf.set(key, str(was if 0 < was < ARROW_ROWS else ARROW_ROWS))
+    try:
+        df.write.parquet(path, compression="zstd" if zstd else None)
+    finally:
+        spark.conf.set(key, str(was))
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_written(spark: SparkSession) -> None:
