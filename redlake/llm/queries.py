@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chaining, decontaminate, license_scan, line_spread, quality_rules, resampling, sharding, simhash, substrings
+from . import byte_bpe, chaining, decontaminate, license_scan, line_spread, quality_rules, resampling, sharding, simhash, substrings, target_resampling
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_spread": line_spread.op8_line_spread,
         "op9_simhash": simhash.op9_simhash,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+        "op12_target_resampling": target_resampling.op12_target_resampling,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality_rules.ORACLE,
         "op2_license_scan": license_scan.ORACLE,
         "op8_line_spread": line_spread.ORACLE,
+        "op12_target_resampling": target_resampling.ORACLE,
     }
