@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chaining, decontaminate, license_scan, line_spread, quality_rules, resampling, sharding, simhash, substrings, target_resampling
+from . import byte_bpe, chaining, decontaminate, license_scan, line_spread, quality_rules, resampling, sharding, simhash, substrings, target_resampling, warc
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_simhash": simhash.op9_simhash,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
         "op12_target_resampling": target_resampling.op12_target_resampling,
+        "op13_arc_to_warc": warc.op13_arc_to_warc,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_license_scan": license_scan.ORACLE,
         "op8_line_spread": line_spread.ORACLE,
         "op12_target_resampling": target_resampling.ORACLE,
+        "op13_arc_to_warc": warc.ORACLE,
     }
