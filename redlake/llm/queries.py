@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chaining, decontaminate, license_scan, line_spread, quality_rules, resampling, sharding, simhash, substrings, target_resampling, warc
+from . import alignment, byte_bpe, chaining, decontaminate, license_scan, line_spread, quality_rules, resampling, sharding, simhash, substrings, target_resampling, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_line_spread": line_spread.op8_line_spread,
         "op9_simhash": simhash.op9_simhash,
         "op10_byte_bpe": byte_bpe.op10_byte_bpe,
+        "op11_tokenizer_alignment": alignment.op11_tokenizer_alignment,
         "op12_target_resampling": target_resampling.op12_target_resampling,
         "op13_arc_to_warc": warc.op13_arc_to_warc,
     }

@@ -5,13 +5,17 @@ import math
 import random
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
+from functools import lru_cache
 
+import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from redlake.llm import target_resampling, warc
+from redlake.llm import alignment, target_resampling, warc
+from redlake.llm.common import table, written
 from redlake.sources.tables import fresh_path
 
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -162,3 +166,115 @@ def test_legacy_files_of_others(spark, tmp_path):
     assert (rows["dns:a"].record_type, rows["dns:a"].payload_bytes, rows["dns:a"].date) == ("resource", 11, "2001-02-03T04:05:07Z")
     assert rows["http://a/"].record_type == "response" and rows["http://b/"].record_type == "revisit"
     assert rows["http://b/"].refers_to_id == rows["http://a/"].record_id and rows["http://b/"].payload_bytes == 4
+
+
+@lru_cache(1)
+def tokenizers():
+    """(encode, bytes of an id) of each, by the libraries, whole texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a, b = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    a.encode_special_tokens = True
+    letters = {v: k for k, v in byte_alphabet().items()}
+    return (
+        lambda t: a.encode(" " + t, add_special_tokens=False).ids,
+        lambda i: bytes(letters[c] for c in a.id_to_token(i)),
+        lambda t: b.encode(t),
+        lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode(),
+    )
+
+
+def byte_alphabet():
+    own = [b for b in range(256) if chr(b).isprintable() and b not in (0x20, 0xA0, 0xAD)]
+    more = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(more)) for b in range(256)}
+
+
+def by_hand(t):
+    """(a ids, b ids, groups, linked pairs) of a text, by the offsets where both end."""
+    encode_a, bytes_a, encode_b, bytes_b = tokenizers()
+    a, b = (encode_a(t), encode_b(t)) if t else ([], [])
+    if not t or not b"".join(map(bytes_a, a)) == b"".join(map(bytes_b, b)) == (" " + t).encode():
+        return [], [], [], []
+    ends_a, ends_b = np.cumsum([len(bytes_a(i)) for i in a]).tolist(), np.cumsum([len(bytes_b(i)) for i in b]).tolist()
+    both, groups, i, j, links = set(ends_a) & set(ends_b), [], 0, 0, []
+    for end in sorted(both):
+        k, m = ends_a.index(end) + 1, ends_b.index(end) + 1
+        groups.append((a[i:k], b[j:m]))
+        links.append((a[k - 1], b[m - 1]))
+        i, j = k, m
+    return a, b, groups, links
+
+
+def in_writing(groups):
+    return ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+
+
+ODD = ["Hello world", " two  spaces", "line\n\n  indented\n", "trail \n ", " ", "\n", "a\u2581b is not a space", "<|endoftext|> <s> </s> <unk>", "naïve café — “quotes”…", "漢字かな交じり文です 漢字", "👍🏽 emoji👩‍👩‍👧", "x\u2003y\u00a0z\x85w\x1c v", "don't we'll I'M", "ÅÄÖ ﬁ ﬂ ①②", "\x00 nul", "tab\tseparated  \t values", "a" * 3000, "word " * 500, "1234567890 " * 3, "if (x):\n    return  y\n\n\n", None, "", "זה עברית", "\ufeffbom", "a\u200b b\u2060 c"]
+
+
+def test_texts_align_as_the_libraries_say():
+    x = alignment.Aligner(alignment.PATH_A, alignment.PATH_B)
+    assert x.cut and x.ranked is not None
+    sizes, groups, owner, pair, times = x.align(ODD)
+    for k, t in enumerate(ODD):
+        a, b, g, links = by_hand(t)
+        assert (sizes[k].tolist(), groups[k]) == ([len(a), len(b), len(g), len(links)], in_writing(g)), t
+        assert {int(p): int(n) for o, p, n in zip(owner, pair, times) if o == k} == Counter(p << 32 | q for p, q in links)
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.lists(st.sampled_from(["a", "the", " ", "  ", "\n", "\t", "é", "漢", "'s", "1", ".", "\u2581", "\xa0", "\x1c", "\u3000", "👍", "ing", "Hello", "\x85", "<s>"]), max_size=12).map("".join))
+def test_parts_are_independent(t):
+    x = known()
+    sizes, groups, *_ = x.align([t])
+    a, b, g, _ = by_hand(t)
+    assert (sizes[0, :2].tolist(), groups[0]) == ([len(a), len(b)], in_writing(g))
+
+
+@lru_cache(1)
+def known():
+    return alignment.Aligner(alignment.PATH_A, alignment.PATH_B)
+
+
+def test_letters_of_ranked_parts_are_cut_as_the_library_cuts():
+    x, encode = known(), tokenizers()[0]
+    letters = [chr(c) for c in range(0x3000) if alignment._SURE.fullmatch(chr(c))]
+    assert len(letters) > 700
+    for c in letters:
+        for t in (f"a{c}", f"1{c}b", f".{c}", f"b {c}x", f"{c}{c}1", f"'{c}s"):
+            assert x.ranked.encode_ordinary(" " + t) == encode(t), (t, hex(ord(c)))
+
+
+@settings(deadline=None, max_examples=100)
+@given(st.lists(st.tuples(st.integers(1, 4), st.booleans()), min_size=1, max_size=40))
+def test_groups_and_overlaps(cuts):
+    """Two ways to cut a string: groups end where both cut, overlaps are all pairs that share a byte."""
+    length = sum(n for n, _ in cuts)
+    a = np.array([(i, min(i + 3, length)) for i in range(0, length, 3)])
+    ends = np.cumsum([n for n, _ in cuts])
+    b = np.stack([ends - [n for n, _ in cuts], ends], axis=1)
+    both = sorted(set(a[:, 1].tolist()) & set(ends.tolist()))
+    group_a, group_b = alignment.groups_of(a, b)
+    assert group_a.tolist() == [sum(e <= s for e in both) for s in a[:, 0]] and group_b.tolist() == [sum(e <= s for e in both) for s in b[:, 0]]
+    i, j = alignment.overlaps(a, b)
+    assert list(zip(i, j)) == [(p, q) for p in range(len(a)) for q in range(len(b)) if a[p, 0] < b[q, 1] and b[q, 0] < a[p, 1]]
+
+
+@pytest.mark.parametrize("frequent", [0, 20, 100_000])
+def test_alignment_is_brute_force(spark, docs, frequent):
+    texts = [r.text for r in table(spark, "/root/testdata/sf0.001", "documents").select("text").limit(120).collect()]
+    rows = [*enumerate(texts), (5, texts[5]), (None, texts[3])] + [(1000 + i, t) for i, t in enumerate(ODD)] + [(2000 + i, "the same words") for i in range(200)]
+    every = [(i, *by_hand(t)) for i, t in rows]
+    counts = Counter(p for *_, links in every for p in links)
+    most = defaultdict(int)
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    want = Counter(
+        (i, len(a), len(b), len(g), len(links), sum(counts[p] == most[p[1]] for p in links), sum(counts[p] for p in links), hashlib.sha256(in_writing(g).encode()).hexdigest() if g else "") for i, a, b, g, links in every
+    )
+    aligned = written(alignment.align_texts(docs(rows)), "aligned")
+    out = alignment.alignment_scores(aligned, frequent).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    assert Counter(map(tuple, out.collect())) == want
+    assert alignment.alignment_scores(written(alignment.align_texts(docs(rows).limit(0)), "none")).count() == 0
