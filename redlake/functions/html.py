@@ -11,7 +11,7 @@ from functools import cached_property
 from html import escape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
-from xml.etree import ElementTree
+from xml.parsers import expat
 
 import pandas as pd
 import pyarrow as pa
@@ -277,14 +277,43 @@ def parse_pages(pages: DataFrame, *names: str) -> DataFrame:
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, schema)
 
 
+#: Elements of an ODT's content that are a line each.
+ODT_LINES = ("p", "h", "table-row")
+
+
 def odt_text(data: bytes | None) -> str:
-    """Paragraphs, headings and rows of an ODT's content, a line each; empty for anything else."""
+    """Paragraphs, headings and rows of an ODT's content, a line each in the order of their starts; empty for anything else.
+
+    The content is read as a stream of starts, texts and ends: only the open lines are held.
+    """
+    reader, lines, open_ = expat.ParserCreate(namespace_separator=" "), [], []
+
+    def start(name: str, _: dict) -> None:
+        gap()
+        if name.rpartition(" ")[2] in ODT_LINES:
+            open_.append(len(lines))
+            lines.append([])
+
+    def end(name: str) -> None:
+        if name.rpartition(" ")[2] in ODT_LINES:
+            at = open_.pop()
+            lines[at] = clean("".join(lines[at]))
+        gap()
+
+    def gap() -> None:
+        for at in open_:
+            lines[at].append(" ")
+
+    def text(found: str) -> None:
+        for at in open_:
+            lines[at].append(found)
+
+    reader.StartElementHandler, reader.EndElementHandler, reader.CharacterDataHandler = start, end, text
     try:
-        with zipfile.ZipFile(io.BytesIO(data or b"")) as z:
-            root = ElementTree.fromstring(z.read("content.xml"))
-    except (OSError, ValueError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+        with zipfile.ZipFile(io.BytesIO(data or b"")) as z, z.open("content.xml") as content:
+            reader.ParseFile(content)
+    except (OSError, ValueError, KeyError, zipfile.BadZipFile, expat.ExpatError):
         return ""
-    lines = (clean(" ".join(n.itertext())) for n in root.iter() if isinstance(n.tag, str) and n.tag.rpartition("}")[2] in ("p", "h", "table-row"))
     return "\n".join(x for x in lines if x)
 
 

@@ -148,9 +148,12 @@ def error_digest(events: DataFrame, by: list[str], shown: int = MAX_GROUPS) -> D
     detail = F.substring(F.replace("details", F.lit("\n"), F.lit(" ")), 1, MAX_LINE)
     suffix = F.when(detail != "", F.concat(F.lit(" — "), detail)).otherwise("")
     line = F.concat(F.lit("• "), html_escape(F.col("kind")), F.lit(": "), html_escape(F.col("summary")), html_escape(suffix))
+    # Each task keeps the first lines of a key and a count of its own before anything is shuffled, however many errors the key has.
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("id"))
-    ranked = events.withColumns({"rank": rank, "line": line})
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n_errors"), F.array_sort(F.collect_list(F.when(F.col("rank") <= shown, F.struct("rank", "line")))).alias("lines"))
+    first = events.select(*by, "id", line.alias("line")).withColumn("rank", rank).where(F.col("rank") <= shown)
+    counts = events.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    both = counts.unionByName(first.drop("id"), allowMissingColumns=True)
+    out = both.groupBy(*by).agg(F.sum("n").alias("n_errors"), F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "line")))).alias("lines"))
     over = F.when(F.col("n_errors") > shown, F.concat(F.lit("\n… и ещё "), (F.col("n_errors") - shown).cast("string")))
     text = F.concat(F.lit("🔴 Ошибки проверки: "), F.col("n_errors").cast("string"), F.lit(" событий\n"), F.array_join(F.transform("lines", lambda x: x.line), "\n"), F.coalesce(over, F.lit("")))
     return out.select(*by, "n_errors", text.alias("text"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import fold_in_order
+
 
 def latest(versions: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The newest version of each key: an aggregate, so that no key's history is sorted."""
@@ -82,13 +86,11 @@ def first_of(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def throttle(notices: DataFrame, seconds: int = 60) -> DataFrame:
-    """(key, at, sent): a notice is sent if none was in the `seconds` before it. Each key is folded in order."""
-    order = F.array_sort(F.collect_list(F.struct("at", "id")))
-    start = F.struct(F.lit(None).cast("timestamp_ntz").alias("last"), F.array().cast("array<struct<at:timestamp_ntz,id:bigint,sent:boolean>>").alias("out"))
+    """(key, id, at, sent): a notice is sent if none was sent in the `seconds` before it. Each key is folded in order."""
+    wait = timedelta(seconds=seconds)
 
-    def step(a: Column, x: Column) -> Column:
-        send = a.last.isNull() | (x["at"] >= a.last + F.expr(f"interval {seconds} seconds"))
-        return F.struct(F.when(send, x["at"]).otherwise(a.last).alias("last"), F.concat(a.out, F.array(F.struct(x["at"].alias("at"), x["id"].alias("id"), send.alias("sent")))).alias("out"))
+    def step(last: datetime | None, row: dict) -> tuple[datetime, tuple]:
+        send = last is None or row["at"] >= last + wait
+        return row["at"] if send else last, (send,)
 
-    folded = notices.groupBy("key").agg(F.aggregate(order, start, step, lambda a: a.out).alias("out"))
-    return folded.select("key", F.explode("out").alias("x")).select("key", "x.id", "x.at", "x.sent")
+    return fold_in_order(notices.select("key", "id", "at"), "key", ["at", "id"], step, "sent boolean")

@@ -28,15 +28,27 @@ def scan_tables(x: Inputs) -> DataFrame:
 
 @query("scan_blobs", "SELECT DISTINCT b.digest, b.len, left(d.text, 40) AS head FROM (SELECT store, max_by(digest, seq) AS digest FROM blobs GROUP BY store) r JOIN blobs b USING (digest) JOIN documents d ON sha256(d.text) = b.digest", "blobs")
 def scan_blobs(x: Inputs) -> DataFrame:
-    wanted = versions.latest(x.blobs, ["store"], "seq").select("digest").distinct()
-    objects = x.table("documents").select(sha256(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("len"), F.substring("text", 1, 40).alias("head"))
-    return objects.join(wanted.hint("merge"), "digest", "left_semi").distinct()
+    """The newest object of each source, its bytes read from the store by key."""
+    root = tables.fresh_path(x.spark, "store")
+    stored = tables.written(blobs.put(texts(x), root), "puts")
+    newest = versions.latest(x.blobs, ["store"], "seq").select("digest").distinct()
+    found = blobs.read(newest.join(stored.select("digest", "key").hint("merge"), "digest"), root)
+    return found.select(F.substring("key", 7, 64).alias("digest"), "len", F.substring(F.decode("data", "UTF-8"), 1, 40).alias("head"))
+
+
+def texts(x: Inputs) -> DataFrame:
+    """The documents as bytes to store."""
+    return x.table("documents").select("lang", F.col("text").cast("binary").alias("data"), F.lit(".txt").alias("suffix"))
 
 
 @query("cas_put", "SELECT digest, suffix, min(len) AS len, left(digest, 2) || '/' || digest[3:4] || '/' || digest || suffix AS key FROM (SELECT digest, '.txt' AS suffix, len FROM blobs WHERE lang <> 'fr') WHERE digest NOT IN (SELECT digest FROM blobs WHERE lang = 'fr') GROUP BY digest, suffix", "blobs")
 def cas_put(x: Inputs) -> DataFrame:
-    puts = x.blobs.withColumn("suffix", F.lit(".txt"))
-    return blobs.new_objects(puts.where("lang <> 'fr'"), puts.where("lang = 'fr'"))
+    """What a second batch of puts adds to the files of a store."""
+    root, rows = tables.fresh_path(x.spark, "store"), texts(x)
+    tables.written(blobs.put(rows.where("lang = 'fr'"), root), "puts")
+    before = tables.written(blobs.objects(x.spark, root), "objects")
+    tables.written(blobs.put(rows.where("lang <> 'fr'"), root), "puts")
+    return blobs.objects(x.spark, root).join(before.select("key").hint("merge"), "key", "left_anti").select("digest", "suffix", "len", "key")
 
 
 @query("cas_usage", f"SELECT count(*) AS n_objects, sum(len)::BIGINT AS used_bytes, sum(len) >= {QUOTA} AS full FROM (SELECT digest, min(len) AS len FROM blobs GROUP BY digest)", "blobs")
@@ -133,12 +145,18 @@ def run_log(x: Inputs) -> DataFrame:
     return log.groupBy("trigger").agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("finished").alias("n_finished"), F.count("error").alias("n_failed"))
 
 
-@query("delivery_ledger", ", b AS (SELECT id AS event_id, chat_id FROM change_log, recipients WHERE status = 'approved' AND kind = 'document_added') SELECT DISTINCT event_id, chat_id FROM b WHERE NOT EXISTS (SELECT 1 FROM deliveries d WHERE d.event_id = b.event_id AND d.chat_id = b.chat_id) UNION ALL SELECT event_id, chat_id FROM deliveries", "deliveries")
+@query("delivery_ledger", "SELECT id AS event_id, chat_id FROM change_log, recipients WHERE status = 'approved' AND kind = 'document_added' UNION SELECT event_id, chat_id FROM deliveries", "deliveries")
 def delivery_ledger(x: Inputs) -> DataFrame:
+    """The ledger after two batches, the second of them twice."""
     from redlake.operators import delivery
+    from redlake.streaming import streams
 
+    path = tables.fresh_path(x.spark, "ledger")
+    streams.book(path, x.deliveries, 0)
     batch = delivery.fan_out(x.change_log.where("kind = 'document_added'"), delivery.approved(x.recipients)).select(F.col("id").alias("event_id"), "chat_id")
-    return delivery.new_ledger_rows(x.deliveries, batch.union(batch)).unionByName(x.deliveries)
+    for _ in range(2):
+        streams.book(path, batch.union(batch), 1)
+    return streams.ledger(x.spark, path)
 
 
 @query("purge_errors", "SELECT id, kind FROM change_log WHERE kind NOT IN ('fetch_error', 'storage_error')", "change_log")
@@ -152,25 +170,27 @@ def schema_upgrade(x: Inputs) -> DataFrame:
     return tables.schema_upgrade(old, {"title": "none", "current_etag": "", "current_last_modified": "", "missing_runs": 0}).withColumn("missing_runs", F.col("missing_runs").cast("long"))
 
 
-def attachments(x: Inputs) -> DataFrame:
-    """Version rows of attachments whose bytes are ODTs made of the documents' texts."""
-    d = x.table("documents").select("doc_id", html.odt_of("text").alias("data"), F.concat(F.lit("https://docs.example.test/"), "source", F.lit("/"), "doc_id", F.lit(".odt")).alias("url"))
-    text = clean_attachment_text(html.extracted("data", F.lit("application/vnd.oasis.opendocument.text"), "url"))
-    return d.select("doc_id", F.sha2("data", 256).alias("binary_sha256"), F.octet_length("data").cast("long").alias("content_length"), urls.path_suffix(F.col("url"), F.lit("")).alias("suffix"), text.alias("text"))
+_SUFFIX = r"coalesce(nullif(regexp_extract(lower(regexp_replace(url, '[?#].*$', '')), '\.(pdf|odt|docx?|xlsx?|zip|rar|7z)$'), ''), '.bin')"
 
 
-@query("attachment_ingest")
+@query("attachment_ingest", f"SELECT page_id, sha256(html) AS binary_sha256, strlen(html)::BIGINT AS content_length, {_SUFFIX} AS suffix, left(sha256(html), 2) || '/' || sha256(html)[3:4] || '/' || sha256(html) || {_SUFFIX} AS object_key FROM pages")
 def attachment_ingest(x: Inputs) -> DataFrame:
-    return attachments(x).select("doc_id", "binary_sha256", "content_length", "suffix", F.when(F.col("text") == "", "").otherwise(F.sha2("text", 256)).alias("semantic_sha256"), blobs.object_key(F.col("binary_sha256"), F.col("suffix")).alias("object_key"))
-
+    """Version rows of what was fetched: the bytes go to the store, and length and digest are those of the object that is read back."""
+    root = tables.fresh_path(x.spark, "store")
+    fetched = x.table("pages").select("page_id", F.col("html").cast("binary").alias("data"), urls.path_suffix(F.col("url"), F.lit("text/html")).alias("suffix"))
+    keyed = fetched.select("page_id", "suffix", blobs.object_key(F.sha2("data", 256), F.col("suffix")).alias("key"))
+    stored = tables.written(blobs.put(fetched, root), "puts")
+    bytes_ = blobs.read(stored, root).select("key", F.sha2("data", 256).alias("binary_sha256"), F.octet_length("data").cast("long").alias("content_length"))
+    return keyed.join(bytes_.hint("merge"), "key").select("page_id", "binary_sha256", "content_length", "suffix", F.col("key").alias("object_key"))
 
-_GAPS = r"'[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+'"
 
-
-@query(
-    "odt_text",
-    f"""SELECT doc_id, length(t)::BIGINT AS n_chars, t AS text FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), chr(10)),
-    lambda x: trim(regexp_replace(x, {_GAPS}, ' ', 'g'))), lambda x: x <> ''), chr(10)) AS t FROM documents)""",
-)
+@query("odt_text")
 def odt_text(x: Inputs) -> DataFrame:
-    return attachments(x).select("doc_id", F.length("text").cast("long").alias("n_chars"), "text")
+    """The text of ODT attachments in the store. The tables have none, so objects are made of the documents' texts first; tests hold the texts against the documents."""
+    root = tables.fresh_path(x.spark, "store")
+    made = x.table("documents").select("doc_id", html.odt_of("text").alias("data"), F.lit(".odt").alias("suffix"))
+    made = tables.written(made.withColumn("key", blobs.object_key(F.sha2("data", 256), F.col("suffix"))), "attachments")
+    stored = tables.written(blobs.put(made, root), "puts")
+    text = clean_attachment_text(html.extracted("data", F.lit(""), "key"))
+    found = blobs.read(stored, root).select("key", text.alias("text"))
+    return made.select("doc_id", "key").join(found.hint("merge"), "key").select("doc_id", F.length("text").cast("long").alias("n_chars"), "text")

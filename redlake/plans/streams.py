@@ -21,7 +21,7 @@ def stream_change_detect(x: Inputs) -> DataFrame:
 
 @query("stream_presence", _PRESENCE + " SELECT key, run + 2 AS run, 'document_removed' AS kind FROM s WHERE coalesce(nr, mr + 1) - run > 2 UNION ALL SELECT key, nr, 'document_restored' FROM s WHERE nr - run > 2", "captures")
 def stream_presence(x: Inputs) -> DataFrame:
-    return streams.presence_by_runs(streams.replay(x.spark, x.captures, "run"), x.captures)
+    return streams.presence_by_runs(streams.replay(x.spark, x.captures, "run"))
 
 
 @query("stream_dedupe", f"SELECT kind, document_id, summary, count(*) AS n FROM (SELECT DISTINCT kind, document_id, summary FROM change_log WHERE kind IN {_ERRORS}) GROUP BY ALL", "change_log")

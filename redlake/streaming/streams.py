@@ -2,35 +2,110 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from redlake.sources.tables import fresh_path, written
 
 CHANGES = "key long, run long, change string"
 STATE = "run long, semantic string, html string"
+EVENTS = "key long, run long, kind string"
 
+#: The state store that holds one value a key on disk, with changes by batch.
+ROCKSDB = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+#: Event time of runs: a day each, run 0 on the second, as the first watermark is at 0. Sightings may come half a day late, so a run may be spread over two batches.
+DAY_MS = 86_400_000
+LATE_MS = DAY_MS // 2
 
-def _detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+
+class _Changes(StatefulProcessor):
     """The captures of a key, in order of runs, against the last hashes kept."""
-    last = state.get if state.exists else None
-    rows = pd.concat(list(batches)).sort_values("run")
-    out = []
-    for run, semantic, markup in zip(rows.run, rows.semantic_sha256, rows.html_sha256, strict=True):
-        change = "first" if last is None else "content" if last[1] != semantic else "markup" if last[2] != markup else "same"
-        out.append((key[0], run, change))
-        last = (int(run), semantic, markup)
-    state.update(last)
-    yield pd.DataFrame(out, columns=["key", "run", "change"])
 
+    def __init__(self, forget_ms: int | None):
+        self.forget_ms = forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", STATE, self.forget_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        seen = pd.concat(list(rows)).sort_values("run", kind="stable")  # of one key in one batch
+        last, out = self.last.get() if self.last.exists() else None, []
+        for run, semantic, markup in zip(seen.run.tolist(), seen.semantic_sha256, seen.html_sha256, strict=True):
+            if last is not None and run <= last[0]:
+                out.append((key[0], run, "late"))
+                continue
+            out.append((key[0], run, "first" if last is None else "content" if last[1] != semantic else "markup" if last[2] != markup else "same"))
+            last = (run, semantic, markup)
+        self.last.update(last)
+        yield pd.DataFrame(out, columns=["key", "run", "change"])
 
-def detect_changes(captures: DataFrame) -> DataFrame:
-    """A stream of captures -> a stream of (key, run, change). A micro-batch may hold several runs, but no run comes late."""
-    return captures.groupBy("key").applyInPandasWithState(_detect, CHANGES, STATE, "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def detect_changes(captures: DataFrame, forget_ms: int | None = None) -> DataFrame:
+    """A stream of captures -> a stream of (key, run, change), against one row of state a key.
+
+    A micro-batch may hold several runs of a key. A capture of a run that isn't after the
+    key's last is 'late': it is told, and changes nothing. Keys that are not captured for
+    forget_ms are forgotten, so the next capture is a first one; without it none are.
+    """
+    return captures.groupBy("key").transformWithStateInPandas(_Changes(forget_ms), CHANGES, "append", "ProcessingTime" if forget_ms else "None")
+
+
+class _Presence(StatefulProcessor):
+    """A key's last sighting, with a timer for the run in which it would be missed for the last time."""
+
+    def __init__(self, runs: int):
+        self.runs = runs
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.seen = handle, handle.getValueState("seen", "run long, removed boolean, timer long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        runs = sorted({int(r) for batch in rows for r in batch.run})
+        last, removed, timer = self.seen.get() if self.seen.exists() else (None, False, None)
+        out = []
+        for run in runs:
+            if last is not None and run <= last:
+                continue
+            if last is not None and run - last > self.runs:
+                out += [] if removed else [(key[0], last + self.runs, "document_removed")]
+                out.append((key[0], run, "document_restored"))
+            last, removed = run, False
+        if timer is not None:
+            self.handle.deleteTimer(timer)
+        timer = None if removed else (last + self.runs + 1) * DAY_MS - LATE_MS
+        if timer is not None:
+            self.handle.registerTimer(timer)
+        self.seen.update((last, removed, timer))
+        yield pd.DataFrame(out, columns=["key", "run", "kind"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        last, _, _ = self.seen.get()
+        self.seen.update((last, True, None))
+        yield pd.DataFrame([(key[0], last + self.runs, "document_removed")], columns=["key", "run", "kind"])
+
+    def close(self) -> None:
+        pass
+
+
+def presence_changes(captures: DataFrame, runs: int = 2) -> DataFrame:
+    """A stream of sightings (key, run) -> a stream of (key, run, kind): removed in the run that is the second in a row without the key, restored when it is seen again.
+
+    Runs are event time, a day each, and the watermark is the latest run. A batch touches the
+    keys it sees and those whose timers it passes, no others. Sightings of a run may come in
+    the batch after the run's first; later ones are dropped.
+    """
+    at = F.timestamp_millis((F.col("run") + 1) * DAY_MS)
+    timed = captures.select("key", "run", at.alias("at")).withWatermark("at", f"{LATE_MS} milliseconds")
+    return timed.groupBy("key").transformWithStateInPandas(_Presence(runs), EVENTS, "append", "EventTime")
 
 
 def dedupe(events: DataFrame, keys: list[str], time: str, horizon: str) -> DataFrame:
@@ -46,60 +121,93 @@ def latest_per_interval(events: DataFrame, key: str, value: str, time: str, orde
 
 
 def replay(spark: SparkSession, df: DataFrame, run: str) -> DataFrame:
-    """A table as a stream: files for each value of a column (runs, days: few), written in their order, as they would arrive."""
-    rows, path = written(df, "replayed"), fresh_path(spark, "stream")
-    for (value,) in rows.select(run).distinct().orderBy(run).collect():
-        rows.where(F.col(run) == F.lit(value)).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 32).parquet(path)
-
+    """A table as a stream: files for each value of a column (runs, days: few), as they would arrive.
 
-def drained(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives for what is there now, as a table."""
+    One job writes the files of all values; their times are then set in the order of the
+    values, which is the order in which a stream takes files up.
+    """
+    path = fresh_path(spark, "stream")
+    df.withColumn("__run", F.col(run)).hint("rebalance", "__run").write.partitionBy("__run").parquet(path)
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/__run=*/*.parquet")
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = [(f.getPath().getParent().getName().removeprefix("__run="), f) for f in fs.globStatus(top) or []]
+    values = {str(v): i for i, (v,) in enumerate(df.select(run).where(F.col(run).isNotNull()).distinct().orderBy(run).collect(), start=1)}
+    now = int(time.time() * 1000)
+    for value, f in files:
+        fs.setTimes(f.getPath(), now - 1000 * (len(values) - values.get(value, 0)), -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 32).parquet(f"{path}/*")
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started within hold their state in RocksDB; a query takes the setting over when it starts."""
+    key, provider = ROCKSDB
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
+def drained(stream: DataFrame, label: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """All that a stream has given up to now, as a table. With a path, a stream that is started again there goes on where it was."""
     spark = stream.sparkSession
-    path = fresh_path(spark, label)
-    q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").option("path", path).trigger(availableNow=True).start()
+    path = path or fresh_path(spark, label)
+    with rocksdb(spark):
+        q = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}-state").option("path", path).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def each_batch(stream: DataFrame, path: str, f: Callable[[DataFrame, int], None]) -> None:
-    stream.writeStream.foreachBatch(f).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+#: Event ids in a folder of the ledger. They grow with time, so a batch touches the newest folders, and those of what it repeats.
+LEDGER_SPAN = 1 << 20
+LEDGER = "event_id long, chat_id long"
+
+
+def _booked(spark: SparkSession, path: str, buckets: list[int], number: int | None = None) -> DataFrame:
+    """The pairs of some folders of the ledger, without those that batch `number` itself or a later one left."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [p for p in (f"{path}/bucket={b}" for b in buckets) if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p))]
+    if not there:
+        return spark.createDataFrame([], LEDGER)
+    rows = spark.read.schema(f"{LEDGER}, bucket long, batch long").option("basePath", path).parquet(*there)
+    return (rows if number is None else rows.where(F.col("batch") < number)).select("event_id", "chat_id")
 
 
-def deliver_once(stream: DataFrame) -> DataFrame:
-    """A stream of (event_id, chat_id), repeats and all -> the ledger, each pair once.
+def book(path: str, pairs: DataFrame, number: int, span: int = LEDGER_SPAN) -> None:
+    """Adds the pairs (event_id, chat_id) of a batch to the ledger, those that aren't there, each once.
 
-    What is booked is state by key, so a batch looks up its own pairs only; the file sink
-    takes no batch twice.
+    The ledger is in folders of event ids, and in them by batch. A batch reads the folders of
+    its own events only, and replaces what an attempt at the same batch has left there, so a
+    batch that is repeated books nothing more.
     """
-    return drained(stream.select("event_id", "chat_id").dropDuplicates(["event_id", "chat_id"]), "ledger")
+    spark = pairs.sparkSession
+    new = written(pairs.select("event_id", "chat_id").where("event_id is not null and chat_id is not null").distinct().withColumn("bucket", F.floor(F.col("event_id") / span)), "batch")
+    buckets = [r.bucket for r in new.select("bucket").distinct().collect()]
+    left = new.join(_booked(spark, path, buckets, number), ["event_id", "chat_id"], "left_anti").withColumn("batch", F.lit(number).cast("long"))
+    left.write.partitionBy("bucket", "batch").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def presence_by_runs(captures: DataFrame, run_numbers: DataFrame, runs: int = 2, path: str | None = None) -> DataFrame:
-    """(key, run, kind), kept by a state table that each micro-batch of sightings moves on.
+def ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{LEDGER}, bucket long, batch long").option("basePath", path).parquet(path).select("event_id", "chat_id")
 
-    State holds each key's last run, under the number of its batch; progress, state and events
-    are all under `path`, so a job that is started again there goes on where it was. A batch of
-    later sightings tells gaps; what is missing at the end is told by the last run.
+
+def each_batch(stream: DataFrame, path: str, f: Callable[[DataFrame, int], None]) -> None:
+    stream.writeStream.foreachBatch(f).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start().awaitTermination()
+
+
+def deliver_once(stream: DataFrame, path: str | None = None, span: int = LEDGER_SPAN) -> DataFrame:
+    """A stream of (event_id, chat_id), repeats and all -> the ledger under `path`, each pair once.
+
+    There is no state but the ledger itself, and a batch reads only the part that its events are in.
     """
-    spark = captures.sparkSession
-    path, schema = path or fresh_path(spark, "presence"), "key long, seen long, batch long"
-    out = "key long, run long, kind string"
-
-    def move(batch: DataFrame, number: int) -> None:
-        old = spark.createDataFrame([], schema) if number == 0 else spark.read.schema(schema).parquet(f"{path}/state/{number - 1}")
-        rows = batch.select("key", F.col("run").alias("seen")).distinct().unionByName(old.drop("batch"))
-        later = rows.withColumn("next", F.lead("seen").over(Window.partitionBy("key").orderBy("seen"))).where(F.col("next") - F.col("seen") > runs)
-        removed = later.select("key", (F.col("seen") + runs).alias("run"), F.lit("document_removed").alias("kind"))
-        restored = later.select("key", F.col("next").alias("run"), F.lit("document_restored").alias("kind"))
-        removed.unionByName(restored).write.mode("overwrite").parquet(f"{path}/events/{number}")
-        rows.groupBy("key").agg(F.max("seen").alias("seen")).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{path}/state/{number}")
-
-    move(spark.createDataFrame([], "key long, run long"), 0)  # batches of the stream follow it
-    each_batch(captures, path, lambda batch, number: move(batch, number + 1))
-    states = spark.read.schema(schema).parquet(f"{path}/state/*")
-    newest = states.agg(F.max("batch").alias("batch"))
-    last = run_numbers.agg(F.max("run").alias("last"))
-    state = states.join(F.broadcast(newest), "batch").crossJoin(F.broadcast(last))
-    gone = state.where(F.col("last") - F.col("seen") >= runs).select("key", (F.col("seen") + runs).alias("run"), F.lit("document_removed").alias("kind"))
-    return spark.read.schema(out).parquet(f"{path}/events/*").unionByName(gone)
+    path = path or fresh_path(stream.sparkSession, "ledger")
+    each_batch(stream.select("event_id", "chat_id"), f"{path}-stream", lambda batch, number: book(path, batch, number, span))
+    return ledger(stream.sparkSession, path)
+
+
+def presence_by_runs(captures: DataFrame, runs: int = 2, path: str | None = None) -> DataFrame:
+    """(key, run, kind) of all that a stream of sightings tells up to its last run; with a path, a second start goes on there."""
+    return drained(presence_changes(captures, runs), "presence", path=path)

@@ -1,6 +1,7 @@
 """Behaviour on literal rows, and invariants on generated histories."""
 
 import datetime as dt
+import hashlib
 import random
 from collections import Counter
 
@@ -76,14 +77,43 @@ def test_streams_equal_batches(spark):
     df = captures(spark, rows)
     got = streams.drained(streams.detect_changes(streams.replay(spark, df, "run")), "t")
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, versions.classify(df).select("key", "run", "change").collect()))
-    assert Counter(map(tuple, streams.presence_by_runs(streams.replay(spark, df, "run"), df).collect())) == Counter(map(tuple, versions.presence(df).collect()))
+    assert Counter(map(tuple, streams.presence_by_runs(streams.replay(spark, df, "run")).collect())) == Counter(map(tuple, versions.presence(df).collect()))
+
+
+def test_late_captures_are_told_and_change_nothing(spark):
+    from redlake.sources.tables import fresh_path
+
+    path, source, schema = fresh_path(spark, "changes"), fresh_path(spark, "captures"), "key long, run long, semantic_sha256 string, html_sha256 string"
+
+    def more(*rows):
+        captures(spark, rows).write.mode("append").parquet(source)
+        return {tuple(r) for r in streams.drained(streams.detect_changes(spark.readStream.schema(schema).parquet(source)), "changes", path=path).collect()}
+
+    first = {(1, 3, "first"), (1, 5, "content")}
+    assert more((1, 3, "a", "a"), (1, 5, "b", "b")) == first
+    assert more((1, 4, "z", "z"), (1, 5, "b", "b"), (1, 6, "b", "c"), (2, 0, "a", "a")) == first | {(1, 4, "late"), (1, 5, "late"), (1, 6, "markup"), (2, 0, "first")}
 
 
 def test_ledger_books_once(spark):
     pairs = [(i % 7, i % 3, i % 4) for i in range(60)]
     df = spark.createDataFrame(pairs, "event_id long, chat_id long, part long")
-    got = Counter(map(tuple, streams.deliver_once(streams.replay(spark, df, "part").select("event_id", "chat_id")).collect()))
-    assert got == Counter({(a, b) for a, b, _ in pairs})
+    for span in (1, 3, 1 << 20):
+        got = Counter(map(tuple, streams.deliver_once(streams.replay(spark, df, "part").select("event_id", "chat_id"), span=span).collect()))
+        assert got == Counter({(a, b) for a, b, _ in pairs})
+
+
+def test_a_batch_reads_its_own_part_of_the_ledger(spark):
+    from redlake.sources.tables import fresh_path
+
+    path, df = fresh_path(spark, "ledger"), lambda *rows: spark.createDataFrame(rows, "event_id long, chat_id long")
+    streams.book(path, df((1, 1), (25, 1), (99, 1), (None, 1)), 0, span=10)
+    for _ in range(2):  # an attempt that is made again
+        streams.book(path, df((1, 1), (1, 2), (1, 2), (55, 1)), 1, span=10)
+    streams.book(path, df((1, 2), (2, 2)), 2, span=10)
+    assert Counter(map(tuple, streams.ledger(spark, path).collect())) == Counter([(1, 1), (25, 1), (99, 1), (1, 2), (55, 1), (2, 2)])
+    part = streams._booked(spark, path, [0, 4, 5], 2)
+    assert {f.split("bucket=")[1][0] for f in part.inputFiles()} == {"0", "5"} and {tuple(r) for r in part.collect()} == {(1, 1), (1, 2), (55, 1)}
+    assert "PartitionFilters" in part._jdf.queryExecution().executedPlan().toString()
 
 
 def test_late_events_per_interval(spark):
@@ -145,6 +175,99 @@ def test_quota(spark):
     assert blobs.usage(puts, 100).first().asDict() == {"n_objects": 4, "used_bytes": 7, "full": False}
 
 
+def test_folds_take_keys_of_any_length(spark):
+    """A million rows of one key, in order, in one pass that holds no array of them."""
+    puts = spark.range(1_000_000).selectExpr("'s' as store", "id * 7 % 1000003 as seq", "cast(id as string) as digest", "id * 31 % 97 as len").union(spark.sql("select null, 5L, 'x', 3L"))
+    out = blobs.quota_admission(puts, 5_000)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "MapInArrow" in plan
+    got = [(r.admitted, r.used) for r in out.where("store = 's'").orderBy("seq").collect()]
+    used, want = 0, []
+    for _, n in sorted((i * 7 % 1000003, i * 31 % 97) for i in range(1_000_000)):
+        fits = used + n <= 5_000
+        used += n * fits
+        want.append((fits, used))
+    assert got == want and [tuple(r) for r in out.where("store is null").collect()] == [(None, 5, 3, True, 3)]
+    assert blobs.quota_admission(puts.limit(0), 1).count() == 0
+
+
+def test_notices_are_throttled(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 1, 1, 1, 2]), i, NOW + dt.timedelta(seconds=rng.randint(0, 4000))) for i in range(500)]
+    got = {(r.key, r.id): r.sent for r in versions.throttle(spark.createDataFrame(rows, "key long, id long, at timestamp_ntz")).collect()}
+    last, want = {}, {}
+    for k, i, at in sorted(rows, key=lambda r: (r[0] or 0, r[2], r[1])):
+        want[k, i] = k not in last or at >= last[k] + dt.timedelta(seconds=60)
+        if want[k, i]:
+            last[k] = at
+    assert got == want
+
+
+def test_error_digests_are_cut_before_the_shuffle(spark):
+    rows = [(i, NOW, None if i % 2 else i % 4, "fetch_error", f"s{i}", "d", False) for i in range(200)]
+    out = delivery.error_digest(spark.createDataFrame(rows, EVENTS), ["document_id"])
+    got = {r.document_id: (r.n_errors, r.text.split("\n")) for r in out.collect()}
+    n, lines = got[None]
+    assert n == 100 and len(lines) == 22 and lines[1] == "• fetch_error: s1 — d" and lines[20] == "• fetch_error: s39 — d" and lines[21] == "… и ещё 80"
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan.split("Exchange")[-1] or "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def files(root):
+    return sorted(str(p.relative_to(root)) for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc"))
+
+
+def test_the_store_keeps_one_object(spark, tmp_path):
+    root, df = f"file://{tmp_path}/store", lambda *rows: spark.createDataFrame(rows, "seq long, data binary, suffix string").selectExpr("*", "'x' as digest", "1 as key")
+    rows = [(1, b"abc", ".bin"), (2, b"abc", ".bin"), (3, b"abc", ""), (4, b"", None), (5, None, ".bin"), (6, bytes(range(256)) * 5000, ".odt")]
+    keys = [r.key for r in blobs.put(df(*rows), root).collect()]
+    there = files(tmp_path / "store")
+    assert sorted(set(filter(None, keys))) == there and len(there) == 4 and keys.count(None) == 1
+    times = {p: (tmp_path / "store" / p).stat().st_mtime_ns for p in there}
+    (tmp_path / "store" / there[0]).parent.joinpath("_left-by-a-lost-task").write_bytes(b"half")
+    blobs.put(df(*rows).repartition(4), root).collect()
+    assert {p: (tmp_path / "store" / p).stat().st_mtime_ns for p in there} == times
+    assert sorted(r.key for r in blobs.objects(spark, root).collect()) == there
+    assert {(r.digest, r.suffix, r.len) for r in blobs.objects(spark, root).collect()} == {(hashlib.sha256(d).hexdigest(), s or "", len(d)) for _, d, s in rows if d is not None}
+    asked = spark.createDataFrame([(k,) for k in [*keys, "00/00/" + "0" * 64, "no key"]], "key string")
+    got = {r.key: r.data and bytes(r.data) for r in blobs.read(asked, root).collect()}
+    assert got == {k: d for k, (_, d, _) in zip(keys, rows) if k} | {"00/00/" + "0" * 64: None, "no key": None} | {keys[3]: bytearray()}
+    none = tmp_path / "none"
+    assert blobs.objects(spark, f"file://{none}").count() == 0 and blobs.read(asked, f"file://{none}").where("data is null").count() == 6
+
+
+def test_only_named_folders_are_read(spark, tmp_path):
+    root = f"file://{tmp_path}/store"
+    keys = [r.key for r in blobs.put(spark.range(40).selectExpr("cast(cast(id as string) as binary) as data", "'' as suffix"), root).collect()]
+    out = blobs.read(spark.createDataFrame([(keys[7],)], "key string"), root)
+    assert [bytes(r.data) for r in out.collect()] == [b"7"]
+    assert {f.rsplit("/", 3)[1] + "/" + f.rsplit("/", 3)[2] for f in out.inputFiles() if "/store/" in f} == {keys[7][:5]}
+
+
+def test_puts_over_the_quota_write_nothing(spark, tmp_path):
+    root, df = f"file://{tmp_path}/store", lambda *rows: spark.createDataFrame(rows, "seq long, data binary, suffix string")
+    first = blobs.put_admitted(df((1, b"abc", ".bin"), (2, b"abc", ".bin")), root, 3).collect()
+    assert {(r.seq, r.admitted) for r in first} == {(1, True), (2, True)} and len(files(tmp_path / "store")) == 1
+    again = {r.seq: (r.admitted, r.key) for r in blobs.put_admitted(df((1, b"new", ".bin"), (2, b"abc", ".bin"), (3, b"", ".bin")), root, 3).collect()}
+    assert again[1] == (False, None) and again[2] == (True, first[0].key) and again[3][0]
+    assert len(files(tmp_path / "store")) == 2 and blobs.objects(spark, root).agg(F.sum("len")).first()[0] == 3
+
+
+def test_odt_lines_stand_in_order():
+    import io
+    import zipfile
+
+    def odt(body):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("content.xml", f'<o xmlns="u:o" xmlns:t="u:t">{body}</o>')
+        return out.getvalue()
+
+    assert html.odt_text(odt("<t:h>Head</t:h><t:p>a<t:s/>b <t:span>c</t:span>d</t:p>loose<t:p> </t:p>")) == "Head\na b c d"
+    assert html.odt_text(odt("<t:table-row><t:c><t:p>x</t:p></t:c><t:c><t:p>y&amp;</t:p></t:c></t:table-row><t:p>z</t:p>")) == "x y&\nx\ny&\nz"
+    assert html.odt_text(odt("<t:p>not closed")) == "" and html.odt_text(None) == "" and html.odt_text(b"PK") == ""
+
+
 def test_upserts_keep_what_is_not_told(spark):
     old = spark.createDataFrame([(1, "T", "C", False), (2, "U", "D", False)], "id long, title string, category string, active boolean")
     new = spark.createDataFrame([(1, "", "C2"), (3, "N", "")], "id long, title string, category string")

@@ -125,8 +125,11 @@ def test_presence_goes_on_where_it_was(spark):
     df = lambda rows: spark.createDataFrame(rows, "key long, run long")
     stream = lambda: spark.readStream.schema("key long, run long").parquet(source)
     df([(1, 0), (2, 0), (1, 1)]).write.mode("append").parquet(source)
-    streams.presence_by_runs(stream(), df([(0, 1)]), path=path)
+    assert not streams.presence_by_runs(stream(), path=path).collect()
     df([(1, 5), (2, 1)]).write.mode("append").parquet(source)
-    got = {tuple(r) for r in streams.presence_by_runs(stream(), df([(0, 5)]), path=path).collect()}
-    assert got == {(1, 3, "document_removed"), (1, 5, "document_restored"), (2, 3, "document_removed")}
-    assert spark.read.parquet(f"{path}/state/*").agg(F.max("batch")).first()[0] == 2
+    got = [tuple(r) for r in streams.presence_by_runs(stream(), path=path).collect()]
+    assert sorted(got) == [(1, 3, "document_removed"), (1, 5, "document_restored"), (2, 3, "document_removed")]
+    df([(3, 6), (2, 6), (2, 6)]).write.mode("append").parquet(source)
+    assert sorted(map(tuple, streams.presence_by_runs(stream(), path=path).collect())) == sorted([*got, (2, 6, "document_restored")])
+    df([(3, 9)]).write.mode("append").parquet(source)
+    assert sorted(map(tuple, streams.presence_by_runs(stream(), path=path).collect())) == sorted([*got, (2, 6, "document_restored"), (1, 7, "document_removed"), (2, 8, "document_removed"), (3, 8, "document_removed"), (3, 9, "document_restored")])
