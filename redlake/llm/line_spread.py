@@ -4,7 +4,8 @@ Each line's sites go into a HyperLogLog sketch; sketches of a line merge in its
 and lines whose estimate is near the threshold get exact counts. Copied documents repeat
 their lines on many sites too. So the lines on enough sites are counted again, in the same
 way, over the texts that host them: equal texts count once, and a text that consists of
-such lines for the most part is a copy and no host.
+such lines for the most part is a copy and no host, unless they come to less than a text has:
+a thin page with a footer is a host.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from .common import GAP_CHARS, hinted, table, written
 MIN_SITES = 10
 #: A text of which this share, in characters of lines, is spread lines is no host: as a fraction.
 COPIED = (2, 3)
+#: Spread lines with fewer characters in a text are headers and footers, whatever their share: some fifty words are a text that may be copied.
+LEAST_COPIED = 400
 #: log2 of a sketch's buckets: a standard error of 1.6 %; up to some hundred sites it is exact.
 SKETCH_LOG_K = 12
 #: An estimate this far from MIN_SITES, either way, is near it: six standard errors.
@@ -59,15 +62,17 @@ def lines_of_texts(docs: DataFrame, spread: DataFrame, text_col: str = "text") -
 def boilerplate_lines(docs: DataFrame, site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES) -> tuple[DataFrame, DataFrame]:
     """(h, n_sites) of the lines to remove, sites counted over hosts; and (digest, hs, n) of the texts with lines on enough sites.
 
-    A null site is a site of its own; of a text's sites the smallest counts.
+    A null site is a site of its own; of a text's sites the smallest counts. Short texts
+    (LEAST_COPIED) that differ in a line are thin pages, not copies: what they share on
+    enough sites goes.
     """
     text, site = F.col(text_col), F.coalesce(F.col(site_col).cast("string"), F.lit("\x01"))
     keys = F.array_distinct(F.transform(F.split(text, "\n"), _key))
     lines = docs.select(F.xxhash64(site).alias("site"), F.explode(keys).alias("h")).where("h is not null")
     of_texts = lines_of_texts(docs, spread_lines(lines, min_sites), text_col)
     chars = F.aggregate(F.transform(F.split(text, "\n"), lambda x: F.length(_inner(x)).cast("long")), F.lit(0).cast("long"), lambda a, n: a + n)
-    all_of_it = docs.where(text.isNotNull()).select(_digest(text).alias("digest"), site.alias("site"), chars.alias("chars")).groupBy("digest").agg(F.min("site").alias("site"), F.sum("chars").alias("chars"))
-    hosts = all_of_it.join(of_texts.hint("merge"), "digest").where(COPIED[1] * F.col("n") < COPIED[0] * F.col("chars"))
+    all_of_it = docs.where(text.isNotNull()).select(_digest(text).alias("digest"), site.alias("site"), chars.alias("chars")).groupBy("digest").agg(F.min("site").alias("site"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("copies"))
+    hosts = all_of_it.join(of_texts.hint("merge"), "digest").where((COPIED[1] * F.col("n") < COPIED[0] * F.col("chars")) | (F.col("n") < LEAST_COPIED * F.col("copies")))
     return spread_lines(hosts.select(F.xxhash64("site").alias("site"), F.explode("hs").alias("h")), min_sites), of_texts
 
 
@@ -113,7 +118,7 @@ d AS (SELECT text, min(s) AS s, row_number() OVER () AS tid FROM t WHERE text IS
 l AS (SELECT tid, line, regexp_replace(line, {_TRIM}, '', 'g') AS k, i FROM (SELECT tid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d)),
 c AS (SELECT DISTINCT tid, t.s FROM t JOIN d USING (text)),
 spread AS (SELECT k FROM l JOIN c USING (tid) WHERE k <> '' GROUP BY k HAVING count(DISTINCT s) >= {MIN_SITES}),
-hosts AS (SELECT tid FROM l GROUP BY tid HAVING {COPIED[1]} * sum(length(k)) FILTER (k IN (SELECT k FROM spread)) < {COPIED[0]} * sum(length(k))),
+hosts AS (SELECT tid FROM l GROUP BY tid HAVING {COPIED[1]} * sum(length(k)) FILTER (k IN (SELECT k FROM spread)) < {COPIED[0]} * sum(length(k)) OR sum(length(k)) FILTER (k IN (SELECT k FROM spread)) < {LEAST_COPIED}),
 bad AS (SELECT k FROM l JOIN hosts USING (tid) JOIN d USING (tid) WHERE k IN (SELECT k FROM spread) GROUP BY k HAVING count(DISTINCT d.s) >= {MIN_SITES}),
 o AS (SELECT tid, count(*) FILTER (k <> '') AS n_lines, count(*) FILTER (k IN (SELECT k FROM bad)) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (k NOT IN (SELECT k FROM bad)), '') AS clean FROM l GROUP BY tid)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, length(coalesce(clean, ''))::BIGINT AS clean_chars, sha256(coalesce(clean, '')) AS clean_sha256 FROM t LEFT JOIN d USING (text) LEFT JOIN o USING (tid)

@@ -43,6 +43,9 @@ def test_line_spread(spark):
     base = [words(rng, 9) for _ in range(9)]  # near copies, each with a line of its own
     rows += [(300 + i, "\n".join([*base[: i % 9], words(rng, 9), *base[i % 9 + 1 :]]), f"s{i % 15}") for i in range(30)]
 
+    thin = [words(rng, 7) for _ in range(4)]  # a footer under one short line, on pages that have nothing else
+    rows += [(400 + i, "\n".join([words(rng, 4), *thin]), f"thin{i}") for i in range(60)]
+
     def lines_of(t):
         return [x for x in (y.strip(" \t\n\x0b\x0c\r") for y in (t or "").split("\n")) if x]
 
@@ -53,11 +56,11 @@ def test_line_spread(spark):
             spread[x].add(s)
     for t, found in sites.items():
         wide = [x for x in lines_of(t) if len(spread[x]) >= 10]
-        if 3 * sum(map(len, wide)) < 2 * sum(map(len, lines_of(t))):
+        if 3 * sum(map(len, wide)) < 2 * sum(map(len, lines_of(t))) or sum(map(len, wide)) < 400:
             for x in wide:
                 hosted[x].add(min(found))
     bad = {x for x in hosted if len(hosted[x]) >= 10}
-    assert set(footer) <= bad and not bad & set(base)
+    assert set(footer) | set(thin) <= bad and not bad & set(base)
     assert "seen on ten sites or more" in bad and not any(x in bad for x in copy.split("\n"))
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 as h", "2 as key")
     out = line_spread.remove_boilerplate(df).collect()
