@@ -3,11 +3,12 @@
 Two generative models over hashed unigrams and bigrams, one of target texts (those labelled
 good) and one of all texts, give each document the logarithm of the ratio of its
 probabilities. It is taken at a temperature in proportion to the document's length, so that
-texts of all lengths compete alike; words that labelled rejects have and target texts all but
-never do count on top of that, whatever the length. Gumbel noise is added to this log weight,
-and the k highest sums are kept: a sample of k documents without replacement, in proportion
-to their importance weights. k is the target mass: how many documents have weights on the
-target's side of the middle between labelled targets and labelled bad rows.
+texts of all lengths compete alike. Gumbel noise is added to this log weight, and the k
+highest sums are kept: a sample of k documents without replacement, in proportion to their
+importance weights. k is the target mass: how many documents have weights on the target's
+side of the middle between labelled targets and labelled bad rows. Documents with words that
+labelled rejects have and target texts all but never do don't take part in the draw; these
+words have no share in the weights.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ TARGET_ROWS = 20_000
 #: N-grams drawn from the raw model that are added to the target's in each bucket: rare buckets say little.
 SMOOTHING = 5.0
 #: N-grams of a text for which the log ratio is taken, and the temperature it is divided by: a text whose n-grams are
-#: e ** -0.1 times as likely in the target model as in the raw one, each of them, has the weight 1 / e.
+#: e ** -0.2 times as likely in the target model as in the raw one, each of them, has the weight 1 / e. Labelled bad rows then come
+#: within a few deviations of the noise, so the draw is graded: what it keeps isn't the k highest weights.
 LENGTH = 100
-TEMPERATURE = 10.0
-#: A word counts by itself if it is in this share of the rejects, in so many at least, and e ** 3 times rarer in target texts.
+TEMPERATURE = 20.0
+#: A word bars a document if it is in this share of the rejects, in so many at least, and e ** 3 times rarer in target texts.
 BARRED_SHARE = 0.01
 BARRED_LEAST = 8
 BARRED_LOG_RATIO = -3.0
@@ -70,6 +72,11 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
 
     A word that follows itself is one bigram, whatever the word.
     """
+    return _features(text, buckets)[0]
+
+
+def _features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets, and the hashes of the words."""
     words = (text or "").split()
     codes = np.fromiter(map(_CODES.__getitem__, words), dtype=np.uint64, count=len(words))
     core, marks = codes & np.uint64(0xFFFFFFFF), codes >> np.uint64(32)
@@ -77,7 +84,7 @@ def features(text: str | None, buckets: int = BUCKETS) -> np.ndarray:
     pairs = np.where(a == b, np.uint64(0x9E3779B97F4A7C15), a * np.uint64(0x9E3779B97F4A7C15) ^ b * np.uint64(0xC2B2AE3D27D4EB4F))
     pairs ^= pairs >> np.uint64(29)
     found = np.concatenate([core, marks[marks > 0] * np.uint64(0x165667B19E3779F9) >> np.uint64(17), pairs])
-    return (found % np.uint64(buckets)).astype(np.int64)
+    return (found % np.uint64(buckets)).astype(np.int64), core
 
 
 class _Plain(dict):
@@ -154,7 +161,7 @@ def barred_words(labelled: DataFrame) -> dict[str, float]:
 
 
 class Model(NamedTuple):
-    """The log ratio of each bucket, a vector, and that of each word that counts by itself."""
+    """The log ratio of each bucket, a vector, and that of each word that bars a document."""
 
     ratios: np.ndarray
     barred: dict[str, float]
@@ -182,18 +189,19 @@ def gumbel(key: Column, seed: int = SEED) -> Column:
 
 
 def weigh(docs: DataFrame, model: Model, seed: int = SEED) -> DataFrame:
-    """docs with __n_features, __log_ratio (of the whole text), __n_barred, __log_weight, __noise and __row, each row's own number."""
+    """docs with __n_features, __log_ratio (of the whole text), __n_barred (different words that bar it), __log_weight, __noise and __row, each row's own number."""
     at = docs.columns.index("text")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratios, barred = shared.value
+        ratios = shared.value.ratios
+        barred = np.array(sorted({_CODES[w] & 0xFFFFFFFF for w in shared.value.barred}), dtype=np.uint64)
         for b in sliced(batches, 500):
             out = []
             for t in b.column(at):
-                x, found = features(t.as_py(), len(ratios)), barred.keys() & plain_words(t.as_py()) if barred else ()
+                x, words = _features(t.as_py(), len(ratios))
                 total = float(ratios[x].sum())
-                out.append((len(x), total, len(found), LENGTH / TEMPERATURE * total / max(1, len(x)) + sum(barred[w] for w in sorted(found))))
+                out.append((len(x), total, len(np.intersect1d(words, barred)) if len(barred) and np.isin(words, barred).any() else 0, LENGTH / TEMPERATURE * total / max(1, len(x))))
             n, total, k, weight = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(k, pa.int64()), pa.array(weight, pa.float64())], names=[*b.schema.names, *_ADDED])
 
@@ -204,8 +212,13 @@ def weigh(docs: DataFrame, model: Model, seed: int = SEED) -> DataFrame:
 _ADDED = ["__n_features", "__log_ratio", "__n_barred", "__log_weight"]
 
 
+#: Rows that take part in the draw.
+_DRAWN = "__n_barred = 0"
+
+
 def target_mass(rows: DataFrame, labels: DataFrame) -> int:
-    """How many rows (written) have a log weight on the target's side; all of them where no row is a target."""
+    """How many rows (written) of those in the draw have a log weight on the target's side; all of them where no row is a target."""
+    rows = rows.where(_DRAWN)
     kind = target_ids(labels).withColumn("kind", F.lit("target")).union(reject_ids(labels, toxic=False).withColumn("kind", F.lit("bad")))
     of = rows.select("doc_id", "__log_weight").join(F.broadcast(written(kind, "kinds")), "doc_id").groupBy("kind").agg(F.percentile("__log_weight", F.array(F.lit(TARGET_QUANTILE), F.lit(BAD_QUANTILE))).alias("q"))
     q = {r.kind: r.q for r in of.collect()}
@@ -216,14 +229,22 @@ def target_mass(rows: DataFrame, labels: DataFrame) -> int:
     return rows.where(F.col("__log_weight") >= middle).count()
 
 
-def top_k(rows: DataFrame, keys: list[str], k: int) -> Column:
-    """A condition that holds for exactly k rows, those with the highest keys; the last key is unique.
+def effective_size(rows: DataFrame) -> float:
+    """The effective sample size of the rows in the draw: how many rows of equal weight have as much variance."""
+    top = rows.where(_DRAWN).agg(F.max("__log_weight")).first()[0] or 0.0
+    w = F.exp(F.col("__log_weight") - F.lit(top))
+    one, two = rows.where(_DRAWN).agg(F.sum(w), F.sum(w * w)).first()
+    return one * one / two if two else 0.0
+
+
+def top_k(rows: DataFrame, keys: list[str], k: int, among: str = "true") -> Column:
+    """A condition that holds for exactly k of the rows `among`, those with the highest keys; the last key is unique. All of them if there are fewer.
 
     A histogram of BINS bins is narrowed to the bin of the k-th row until that bin is small
     or ends with it; rows must be a written table. No sort, and no more than BINS rows go to
     the driver.
     """
-    above, inside = F.lit(False), F.lit(True)
+    above, inside = F.lit(False), F.expr(among)
     if k <= 0:
         return above
     for key in keys:
@@ -253,11 +274,12 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     """docs (with doc_id and text among its columns) with __n_features, __log_ratio, __n_barred, __log_weight, __noise, __row, __kept.
 
     Null and empty texts have no n-grams and log weight 0. Rows of one doc_id share their
-    noise; equal sums are told apart by __row, so exactly k rows are kept. Without labelled
-    rows all weights are 0 and all rows are kept. k: the target mass, unless given.
+    noise; equal sums are told apart by __row, so exactly k rows are kept, none of them with
+    a barred word; if fewer have none, all of those. Without labelled rows all weights are 0
+    and all rows are kept. k: the target mass, unless given.
     """
     rows = written(weigh(docs, fit(docs, labels), seed), "weighed").withColumn("__sum", F.col("__log_weight") + F.col("__noise"))
-    return rows.withColumn("__kept", top_k(rows, ["__sum", "__row"], target_mass(rows, labels) if k is None else k)).drop("__sum")
+    return rows.withColumn("__kept", top_k(rows, ["__sum", "__row"], target_mass(rows, labels) if k is None else k, _DRAWN)).drop("__sum")
 
 
 def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,6 +287,6 @@ def op7_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     model = fit(docs, labels)
     rows = written(weigh(docs.select("doc_id", "text"), model).drop("text"), "weighed").withColumn("__sum", F.col("__log_weight") + F.col("__noise"))
-    kept = top_k(rows, ["__sum", "__row"], target_mass(rows, labels))
+    kept = top_k(rows, ["__sum", "__row"], target_mass(rows, labels), _DRAWN)
     names = ["n_features", "log_ratio", "n_barred", "log_weight"]
     return rows.select("doc_id", *[F.col(f"__{c}").alias(c) for c in names], F.col("__sum").alias("perturbed"), kept.alias("kept"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from redlake.llm import chaining, decontaminate, license_scan, line_spread, near_texts, quality_rules, queries, resampling, sharding, simhash, substrings
 from redlake.llm.collection_bwt import suffixes_shared
-from redlake.llm.common import table
+from redlake.llm.common import table, written
 
 from test_dedup import brute_fingerprint, brute_removal, sentence
 
@@ -299,6 +299,38 @@ def test_draws_by_importance(spark):
         assert got == {r.row for r in sorted(s.collect(), key=lambda r: -r.s)[:k]}
 
 
+@pytest.fixture(scope="module")
+def weighed(spark):
+    """The rows of the small tables with the weights that the whole operator gives them."""
+    d, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    rows = resampling.weigh(d.select("doc_id", "text"), resampling.fit(d, labels)).drop("text")
+    return written(rows, "weighed"), labels
+
+
+def test_the_noise_decides(spark, weighed):
+    """Over seeds and real weights: what is kept isn't the k highest weights, and rows are kept as often as by numpy's noise."""
+    rows, labels = weighed
+    k = resampling.target_mass(rows, labels)
+    local = rows.where(resampling._DRAWN).select("doc_id", "__log_weight").toPandas()
+    w = local["__log_weight"].to_numpy()
+    assert 0 < k < len(w)
+    noiseless = set(local.doc_id[np.argsort(-w, kind="stable")[:k]])
+    times, seeds = Counter(), range(40)
+    for seed in seeds:
+        summed = written(rows.withColumn("s", F.col("__log_weight") + resampling.gumbel(F.col("doc_id"), seed)).coalesce(1), "sums")
+        kept = {r.doc_id for r in summed.where(resampling.top_k(summed, ["s", "__row"], k, resampling._DRAWN)).collect()}
+        assert len(kept) == k and kept != noiseless
+        times.update(kept)
+    rng, brute = np.random.default_rng(1), np.zeros(len(w))
+    for _ in range(4000):
+        brute[np.argpartition(-(w + rng.gumbel(size=len(w))), k - 1)[:k]] += 1
+    brute, got = brute / 4000, np.array([times[i] for i in local.doc_id]) / len(seeds)
+    near = (brute > 0.02) & (brute < 0.98)
+    assert near.sum() > 20, "the draw is graded"
+    assert abs(got - brute).mean() < 0.03 and abs(got[near].mean() - brute[near].mean()) < 0.05
+    assert k / 3 < resampling.effective_size(rows) <= len(w)
+
+
 def test_words_of_rejects_are_barred(spark):
     rng = random.Random(72)
     rows = [(i, " ".join([*words(rng, 60), *(["Grob,", "fies!"] if i % 4 == 0 else [])])) for i in range(400)]
