@@ -185,6 +185,25 @@ def test_recall_of_fuzzy_passages(docs, every, indel, least):
         assert min(len(a), len(b)) >= 50 and r.similarity <= same / max(len(a), len(b)) + 1e-6 and r.similarity >= 0.8
 
 
+@pytest.mark.parametrize(("every", "indel", "decoys", "n"), [(6, False, 10, 40), (8, True, 10, 30), (10, False, 30, 20)])
+def test_recall_among_many_decoys(docs, every, indel, decoys, n):
+    """Pairs of edited passages, each among slices of the passage that are too short to count, against an aligner over all pairs that share one."""
+    rng = random.Random(60 + every)
+    rows, of = [], {}
+    for i in range(n):
+        passage = words(rng, 56)
+        parts = [passage, changed_every(rng, passage, every, indel), *(passage[a : a + 35] for a in (rng.randint(0, 21) for _ in range(decoys)))]
+        ids = rng.sample(range(1000 * i, 1000 * i + 999), len(parts))
+        for k, p in zip(ids, parts, strict=True):
+            rows.append((k, " ".join(words(rng, 40) + p + words(rng, 40))))
+            of[k] = p
+    similar = lambda a, b: min(len(a), len(b)) >= 50 and chaining._common(a, b) >= 0.8 * max(len(a), len(b))
+    want = {(a, b) for i in range(n) for a, b in itertools.permutations([k for k in of if k // 1000 == i], 2) if similar(of[a], of[b])}
+    assert len(want) >= n
+    found = partners(chaining.repeated_passages(docs(rows)).collect())
+    assert sum(b in found.get(a, ()) for a, b in want) >= 0.9 * len(want)
+
+
 def test_common_subsequence():
     rng = random.Random(5)
     for _ in range(200):
