@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from redlake.sources.tables import written
+from redlake.sources.tables import fresh_path, written
 
 MAX_ROUNDS = 1000
 MAX_NODES = 10_000_000_000
@@ -13,18 +15,39 @@ MAX_NODES = 10_000_000_000
 MAX_PAGES = 10_000
 
 
+#: Nodes that are broadcast at most: a frontier, what was seen, what is closed.
+BROADCAST_NODES = 100_000
+#: Buckets of an adjacency, by source.
+BUCKETS = 64
+
+
+def adjacency(edges: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """edges (src, dst, ...) as a table, each once, bucketed and sorted by src: rounds join it as it lies."""
+    spark, name = edges.sparkSession, f"adjacency_{uuid.uuid4().hex}"
+    rows = edges.distinct().repartition(buckets, "src")
+    rows.write.bucketBy(buckets, "src").sortBy("src").option("path", fresh_path(spark, "adjacency")).saveAsTable(name)
+    return spark.table(name)
+
+
 def bfs(edges: DataFrame, roots: DataFrame, closed: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """(node, depth): what edges (src, dst) reach from roots; closed nodes are reached but not expanded.
 
     A round joins the frontier with the edges and takes away what was seen; each round's new
-    nodes are written, so lineage stays short and cycles end. More than max_nodes is an error.
+    nodes are written, so lineage stays short and cycles end. A frontier that is counted as
+    small is broadcast, and so is what was seen: then the round's one shuffle is that of the
+    new nodes. A larger frontier is dealt to the buckets of an `adjacency`, whose links stay
+    where they are. More than max_nodes is an error.
     """
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_NODES else df.hint("merge")
+    closed = written(closed.select("node").distinct(), "closed")
+    closed = few(closed, closed.limit(BROADCAST_NODES + 1).count())
     frontier = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen, total = frontier, frontier.count()
+    n = total
     for depth in range(1, MAX_ROUNDS):
         open_ = frontier.join(closed, "node", "left_anti").select(F.col("node").alias("src"))
-        found = edges.join(open_, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
-        frontier = written(found.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        found = edges.join(few(open_, n), "src", "left_semi").select(F.col("dst").alias("node"))
+        frontier = written(found.join(few(seen.select("node"), total), "node", "left_anti").distinct().withColumn("depth", F.lit(depth)), "frontier")
         n = frontier.count()
         if not n:
             break
@@ -41,9 +64,10 @@ def discover(links: DataFrame, roots: DataFrame, muted: DataFrame, max_pages: in
     """(node): the documents that links (src, dst, is_document) lead to from roots.
 
     Other pages are walked through; what muted pages link to is neither walked nor a
-    document. Documents are leaves. More than max_pages pages are an error.
+    document. Documents are leaves. More than max_pages pages are an error, so pages are
+    broadcast.
     """
-    links = written(links, "links")
+    links = adjacency(links)
     pages = bfs(links.where("not is_document").select("src", "dst"), roots, muted, max_pages)
-    open_ = pages.join(muted, "node", "left_anti").select(F.col("node").alias("src"))
-    return links.where("is_document").join(open_, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+    open_ = pages.join(muted.hint("merge"), "node", "left_anti").select(F.col("node").alias("src"))
+    return links.where("is_document").join(F.broadcast(written(open_, "open")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()

@@ -208,7 +208,7 @@ def frontier_antijoin(x: Inputs) -> DataFrame:
     edges = x.catalog_edges
     first = edges.where("src = 0").select("dst").distinct()
     seen = first.union(x.spark.range(1).select(F.col("id").alias("dst")))
-    return edges.join(first.withColumnRenamed("dst", "src"), "src").select("dst").distinct().join(seen, "dst", "left_anti").withColumnRenamed("dst", "node")
+    return edges.join(first.withColumnRenamed("dst", "src"), "src").select("dst").distinct().join(seen.hint("merge"), "dst", "left_anti").withColumnRenamed("dst", "node")
 
 
 @query("category_mute_flags", """, c AS (SELECT DISTINCT category FROM documents_dim WHERE category <> '') SELECT r.user_id, c.category, left(sha1(lower(c.category)), 16) AS token, m.user_id IS NOT NULL AS muted FROM recipients r, c LEFT JOIN mutes m ON m.user_id = r.user_id AND m.category_key = lower(c.category)""", "documents_dim", "recipients", "mutes")

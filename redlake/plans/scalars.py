@@ -210,13 +210,13 @@ def page_category(x: Inputs) -> DataFrame:
     return html.parse_pages(x.catalog_pages, "category").select("page_id", "category")
 
 
-def links_of(pages: DataFrame, prefix: str) -> DataFrame:
-    """(page_id, kind, target, title): canonical links in a page's content root, the first of each.
+def links_of(parsed: DataFrame, prefix: str) -> DataFrame:
+    """(page_id, kind, target, title): canonical links in a page's content root, the first of each; parsed: pages with their `links`.
 
     Files are attachments wherever they are; what else lies under the prefix, but for the
     page itself, is a document link.
     """
-    each = html.parse_pages(pages, "links").select("page_id", "url", F.posexplode("links").alias("pos", "link")).where("link.in_root")
+    each = parsed.select("page_id", "url", F.posexplode("links").alias("pos", "link")).where("link.in_root")
     target = urls.canonicalize(F.col("link.url"))
     named = F.coalesce(F.nullif("link.title", F.lit("")), F.regexp_extract(target, r"([^/]*)$", 1))
     links = each.select("page_id", "pos", target.alias("target"), named.alias("title"), urls.canonicalize(F.col("url")).alias("own"))
@@ -234,17 +234,17 @@ CATALOG_LINKS = f""", n AS (SELECT max(page_id) + 1 AS n FROM pages), u AS (SELE
 
 @query("page_links", CATALOG_LINKS.replace(", n AS", "WITH RECURSIVE n AS", 1) + " SELECT page_id, kind, target, title FROM l")
 def page_links(x: Inputs) -> DataFrame:
-    return links_of(x.catalog_pages, CATALOG)
+    return links_of(html.parse_pages(x.catalog_pages, "links"), CATALOG)
 
 
 @query("catalog_bfs", CATALOG_LINKS.replace(", n AS", "WITH RECURSIVE n AS", 1) + """, r AS (SELECT 0::BIGINT AS k UNION SELECT l.child FROM r JOIN l ON l.page_id = r.k JOIN u ON u.k = l.child WHERE r.k % 11 <> 3 AND NOT u.leaf)
     SELECT DISTINCT l.target AS url FROM r JOIN l ON l.page_id = r.k JOIN u ON u.k = l.child WHERE r.k % 11 <> 3 AND u.leaf""")
 def catalog_bfs(x: Inputs) -> DataFrame:
-    """The documents of a catalogue of pages; one category is muted."""
-    pages = html.parse_pages(x.catalog_pages, "category").select("page_id", "url", "category")
-    links = tables.written(links_of(x.catalog_pages, CATALOG), "page-links").where("kind = 'document'").join(pages.select("page_id", "url").hint("merge"), "page_id")
+    """The documents of a catalogue of pages, each parsed once; one category is muted."""
+    parsed = tables.written(html.parse_pages(x.catalog_pages, "category", "links"), "parsed")
+    links = links_of(parsed, CATALOG).where("kind = 'document'").join(parsed.select("page_id", "url").hint("merge"), "page_id")
     root = x.spark.range(1).select(F.lit(CATALOG).alias("node"))
-    muted = pages.where(text.category_key(F.col("category")) == "cat 3").select(F.col("url").alias("node"))
+    muted = parsed.where(text.category_key(F.col("category")) == "cat 3").select(F.col("url").alias("node"))
     found = discover(links.select(F.col("url").alias("src"), F.col("target").alias("dst"), urls.is_document_url(F.col("target"), CATALOG).alias("is_document")), root, tables.written(muted, "muted"))
     return found.select(F.col("node").alias("url"))
 
