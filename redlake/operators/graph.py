@@ -17,13 +17,12 @@ MAX_PAGES = 10_000
 
 #: Nodes that are broadcast at most: a frontier, what was seen, what is closed.
 BROADCAST_NODES = 100_000
-#: Buckets of an adjacency, by source.
-BUCKETS = 64
 
 
-def adjacency(edges: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """edges (src, dst, ...) as a table, each once, bucketed and sorted by src: rounds join it as it lies."""
+def adjacency(edges: DataFrame, buckets: int | None = None) -> DataFrame:
+    """edges (src, dst, ...) as a table, each once, bucketed and sorted by src: rounds join it as it lies. As many buckets as a shuffle has parts, unless said."""
     spark, name = edges.sparkSession, f"adjacency_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = edges.distinct().repartition(buckets, "src")
     rows.write.bucketBy(buckets, "src").sortBy("src").option("path", fresh_path(spark, "adjacency")).saveAsTable(name)
     return spark.table(name)

@@ -217,9 +217,10 @@ def links_of(parsed: DataFrame, prefix: str) -> DataFrame:
     page itself, is a document link.
     """
     each = parsed.select("page_id", "url", F.posexplode("links").alias("pos", "link")).where("link.in_root")
-    target = urls.canonicalize(F.col("link.url"))
-    named = F.coalesce(F.nullif("link.title", F.lit("")), F.regexp_extract(target, r"([^/]*)$", 1))
-    links = each.select("page_id", "pos", target.alias("target"), named.alias("title"), urls.canonicalize(F.col("url")).alias("own"))
+    # Written once: the rules for URLs are long expressions, and each use below would repeat them.
+    told = each.select("page_id", "pos", urls.canonicalize(F.col("link.url")).alias("target"), F.col("link.title").alias("title"), urls.canonicalize(F.col("url")).alias("own"))
+    named = F.coalesce(F.nullif("title", F.lit("")), F.regexp_extract("target", r"([^/]*)$", 1))
+    links = tables.written(told, "canonical-links").withColumn("title", named)
     inside = F.col("target").startswith(prefix.rstrip("/") + "/") & (F.col("target") != F.col("own"))
     kind = F.when(urls.is_attachment(F.col("target")), "attachment").when(inside, "document")
     return links.withColumn("kind", kind).where("kind is not null").groupBy("page_id", "kind", "target").agg(F.min_by("title", "pos").alias("title"))

@@ -82,6 +82,14 @@ def append_events(x: Inputs) -> DataFrame:
     return x.spark.read.schema(log.schema).parquet(path)
 
 
+def updated(x: Inputs, current: DataFrame, captured: DataFrame, keys: list[str], merge) -> DataFrame:
+    """A stored state after a run: its first version is current, its second what captured makes of it."""
+    path = tables.fresh_path(x.spark, "state")
+    state.update_state(current, path, keys, lambda _, first: first, current.schema)
+    state.update_state(captured, path, keys, merge, current.schema)
+    return state.read_state(x.spark, path, current.schema)
+
+
 _CAPTURED = "SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 THEN '' ELSE c_name || ' v2' END AS title, CASE WHEN c_nationkey > 20 THEN '' ELSE c_mktsegment END AS category FROM customer WHERE c_acctbal > 0 UNION ALL SELECT s_suppkey + 10000000, s_name, '' FROM supplier"
 
 
@@ -93,7 +101,7 @@ _CAPTURED = "SELECT c_custkey AS id, CASE WHEN c_nationkey < 5 THEN '' ELSE c_na
 )
 def upsert_document_state(x: Inputs) -> DataFrame:
     captured = x.spark.sql(_CAPTURED.replace("FROM customer", "FROM {customer}").replace("FROM supplier", "FROM {supplier}"), customer=x.table("customer"), supplier=x.table("supplier"))
-    return state.upsert_documents(x.documents_dim, captured)
+    return updated(x, x.documents_dim.select("id", "title", "category", "active"), captured, ["id"], state.upsert_documents)
 
 
 @query(
@@ -107,7 +115,7 @@ def upsert_attachment_state(x: Inputs) -> DataFrame:
     links = x.attachment_links
     current = links.where(~links.url.endswith(".zip")).select("document_id", "url", links.title.alias("display_name"), links.url.endswith(".pdf").alias("active"))
     captured = links.where(~links.url.endswith(".docx")).select("document_id", "url", F.upper("title").alias("display_name"))
-    return state.upsert_attachments(current, captured)
+    return updated(x, current, captured, ["document_id", "url"], state.upsert_attachments)
 
 
 _STATE_CTES = """, cur AS (SELECT key, max_by(html_sha256, run) AS validator, max_by(fetched_at, run) AS last_seen, max(run) % 2 = 0 AS active, max(run) % 3 AS missing_runs FROM captures WHERE run < 20 GROUP BY key),
@@ -126,7 +134,7 @@ def _states(x: Inputs) -> tuple[DataFrame, DataFrame]:
     "captures",
 )
 def touch_not_modified(x: Inputs) -> DataFrame:
-    return state.touch_not_modified(*_states(x))
+    return updated(x, *_states(x), ["key"], state.touch_not_modified)
 
 
 @query("validator_match", _STATE_CTES + " SELECT key, coalesce(validator = v, false) AS not_modified FROM nxt LEFT JOIN cur USING (key)", "captures")
@@ -138,11 +146,14 @@ def validator_match(x: Inputs) -> DataFrame:
 
 @query("run_log", "SELECT trigger, count(*) AS n_runs, count(finished_at) AS n_finished, count(*) FILTER (finished_at IS NULL) AS n_failed FROM runs GROUP BY trigger", "runs")
 def run_log(x: Inputs) -> DataFrame:
-    path = tables.fresh_path(x.spark, "runs")
-    rows = x.runs.select("id", "trigger", F.col("finished_at").isNotNull().alias("finished"), F.when(F.col("finished_at").isNull(), "stopped").alias("error"))
-    rows.write.mode("append").partitionBy("trigger").parquet(path)
-    log = x.spark.read.parquet(path)
-    return log.groupBy("trigger").agg(F.count(F.lit(1)).alias("n_runs"), F.count_if("finished").alias("n_finished"), F.count("error").alias("n_failed"))
+    """A logged run for each trigger; what it counts is observed in the job that stores its rows."""
+    path, stored = tables.fresh_path(x.spark, "run-log"), tables.fresh_path(x.spark, "runs")
+    runs = tables.written(x.runs, "runs")
+    for n, r in enumerate(runs.select("trigger").distinct().orderBy("trigger").collect()):  # a handful
+        store = lambda rows, r=r: rows.write.parquet(f"{stored}/{hash(r.trigger) & 0xFFFFFFFF:x}")
+        tables.logged(runs.where(F.col("trigger").eqNullSafe(F.lit(r.trigger))), path, store, F.col("finished_at").isNull(), run_id=n, trigger=r.trigger, baseline=False)
+    log = x.spark.read.schema(tables.RUN).parquet(path)
+    return log.select("trigger", F.col("documents").alias("n_runs"), (F.col("documents") - F.col("errors")).alias("n_finished"), F.col("errors").alias("n_failed"))
 
 
 @query("delivery_ledger", "SELECT id AS event_id, chat_id FROM change_log, recipients WHERE status = 'approved' AND kind = 'document_added' UNION SELECT event_id, chat_id FROM deliveries", "deliveries")
@@ -166,8 +177,12 @@ def purge_errors(x: Inputs) -> DataFrame:
 
 @query("schema_upgrade", "SELECT c_custkey AS id, c_name AS title, '' AS current_etag, '' AS current_last_modified, 0::BIGINT AS missing_runs FROM customer")
 def schema_upgrade(x: Inputs) -> DataFrame:
-    old = x.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
-    return tables.schema_upgrade(old, {"title": "none", "current_etag": "", "current_last_modified": "", "missing_runs": 0}).withColumn("missing_runs", F.col("missing_runs").cast("long"))
+    """A folder of files from before and after columns were added and ids widened."""
+    path, every = tables.fresh_path(x.spark, "documents"), x.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("title"))
+    tables.append_version(every.where("id % 2 = 0 and id < 2147483648").withColumn("id", F.col("id").cast("int")), path, 1)
+    new = {"current_etag": "", "current_last_modified": "", "missing_runs": 0}
+    tables.append_version(tables.schema_upgrade(every.where("id % 2 = 1 or id >= 2147483648"), new), path, 2)
+    return tables.read_versions(x.spark, path, "id long, title string, current_etag string, current_last_modified string, missing_runs long", new)
 
 
 _SUFFIX = r"coalesce(nullif(regexp_extract(lower(regexp_replace(url, '[?#].*$', '')), '\.(pdf|odt|docx?|xlsx?|zip|rar|7z)$'), ''), '.bin')"

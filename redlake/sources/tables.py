@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -69,10 +70,33 @@ def append_events(events: DataFrame, path: str, partition: str = "kind") -> None
     events.write.mode("append").partitionBy(partition).parquet(path)
 
 
+#: Characters of an error that the run log keeps.
+ERROR_CHARS = 10_000
+RUN = "run_id long, trigger string, baseline boolean, documents long, errors long, started_at timestamp, finished_at timestamp, error string"
+
+
 def append_run(spark: SparkSession, path: str, **row: object) -> None:
-    """One row of the run log, also for a run that failed."""
-    fields = "run_id long, trigger string, baseline boolean, documents long, error string"
-    spark.createDataFrame([tuple(row.get(c.split()[0]) for c in fields.split(", "))], fields).coalesce(1).write.mode("append").parquet(path)
+    """One row of the run log."""
+    spark.createDataFrame([tuple(row.get(c.split()[0]) for c in RUN.split(", "))], RUN).coalesce(1).write.mode("append").parquet(path)
+
+
+def logged(rows: DataFrame, path: str, work: Callable[[DataFrame], None], failed: Column, **row: object) -> dict:
+    """Does the work on rows, and appends a row of the run log with what the job itself counted.
+
+    documents and errors (rows for which failed holds) are observed while the work's first
+    action runs over rows: no second pass. A run that ends in an error leaves its row too,
+    with the error and without counts, and the error goes on.
+    """
+    seen, spark, started, error, counts = Observation(), rows.sparkSession, datetime.now(), "", {}
+    try:
+        work(rows.observe(seen, F.count(F.lit(1)).alias("documents"), F.count_if(failed).alias("errors")))
+        counts = seen.get
+    except BaseException as e:
+        error = f"{type(e).__name__}: {e}"[:ERROR_CHARS]
+        raise
+    finally:
+        append_run(spark, path, started_at=started, finished_at=datetime.now(), error=error, **row, **counts)
+    return counts
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
@@ -90,6 +114,37 @@ def schema_upgrade(old: DataFrame, columns: Mapping[str, object]) -> DataFrame:
     return old.withColumns({c: F.lit(v) for c, v in columns.items() if c not in old.columns})
 
 
+def append_version(rows: DataFrame, path: str, version: int) -> None:
+    """Rows as a version of a table's schema has them, in that version's folder."""
+    rows.write.mode("append").parquet(f"{path}/schema_version={version}")
+
+
+def read_versions(spark: SparkSession, path: str, schema: str, defaults: Mapping[str, object]) -> DataFrame:
+    """All rows of a folder of files of several versions, with the columns and types of schema.
+
+    Columns that a version lacks have their default, or null; a value that is null where the
+    version has the column stays null. Types are widened (int to long, date to timestamp);
+    a column that can't be widened is an error, as it would lose values. Other columns of a
+    version are left out. A folder without files has no rows.
+    """
+    want = spark.createDataFrame([], schema).schema
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/schema_version=*")
+    found = sorted(f.getPath().toString() for f in top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(top) or [])
+    out = spark.createDataFrame([], want)
+    for folder in found:
+        part = spark.read.parquet(folder)
+        for f in want:
+            own = part.schema[f.name].dataType if f.name in part.columns else None
+            if own is not None and own != f.dataType and f.dataType.simpleString() not in _WIDER.get(own.simpleString(), ()):
+                raise TypeError(f"{folder}: {f.name} is {own.simpleString()}, which is not a part of {f.dataType.simpleString()}")
+        out = out.unionByName(schema_upgrade(part, {f.name: defaults.get(f.name) for f in want}).select(*[F.col(f.name).cast(f.dataType) for f in want]))
+    return out
+
+
+#: What a type may become without losing a value.
+_WIDER = {"tinyint": ("smallint", "int", "bigint", "double"), "smallint": ("int", "bigint", "double"), "int": ("bigint", "double"), "float": ("double",), "date": ("timestamp", "timestamp_ntz"), "void": ("string", "bigint", "int", "boolean", "double")}
+
+
 def purge(events: DataFrame, kinds: list[str]) -> DataFrame:
     """events without the named kinds; a null kind stays."""
     return events.where(~F.coalesce(F.col("kind").isin(*kinds), F.lit(False)))

@@ -283,6 +283,74 @@ def test_old_tables_get_new_columns(spark):
     assert sorted((r.run_id, r.error) for r in spark.read.parquet(path).collect()) == [(0, ""), (1, "stopped")]
 
 
+def test_untouched_buckets_keep_their_files(spark):
+    path, schema = tables.fresh_path(spark, "state"), "id long, title string, category string, active boolean"
+    first = spark.createDataFrame([(i, f"t{i}", "c", True) for i in range(200)], schema)
+    assert state.read_state(spark, path, schema).count() == 0
+    state.update_state(first, path, ["id"], lambda _, rows: rows, schema, buckets=16)
+    before = state.manifest(spark, path)[1]
+    files_before = {f for f in state.read_state(spark, path, schema).inputFiles()}
+    captured = spark.createDataFrame([(7, "", "new"), (8, "eight", ""), (1000, "n", "m")], "id long, title string, category string")
+    wrote = state.update_state(captured, path, ["id"], state.upsert_documents, schema, buckets=16)
+    version, after = state.manifest(spark, path)
+    assert version == 1 and 1 <= len(wrote) <= 3 and {b for b in after if after[b] != before.get(b)} == set(wrote)
+    kept = {f for f in state.read_state(spark, path, schema).inputFiles()} & files_before
+    assert len(kept) >= 13 and all(f"/bucket={b}/" not in f for f in kept for b in wrote)
+    rows = {r.id: (r.title, r.category, r.active) for r in state.read_state(spark, path, schema).collect()}
+    assert len(rows) == 201 and rows[7] == ("t7", "new", True) and rows[8] == ("eight", "c", True) and rows[1000] == ("n", "m", True) and rows[9] == ("t9", "c", True)
+
+    def lost(current, captured):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError, match="stopped"):
+        state.update_state(captured, path, ["id"], lost, schema, buckets=16)
+    assert state.manifest(spark, path) == (1, after)
+
+
+def test_a_failing_run_leaves_its_row(spark):
+    path, out = tables.fresh_path(spark, "log"), tables.fresh_path(spark, "out")
+    rows = spark.range(10).withColumn("bad", F.col("id") % 4 == 0)
+    counts = tables.logged(rows, path, lambda df: df.write.parquet(out), F.col("bad"), run_id=1, trigger="manual", baseline=True)
+    assert counts == {"documents": 10, "errors": 3} and spark.read.parquet(out).count() == 10
+    broken = rows.withColumn("x", F.raise_error(F.lit("no such page")).cast("string"))
+    with pytest.raises(Exception, match="no such page"):
+        tables.logged(broken, path, lambda df: df.write.parquet(f"{out}-2"), F.col("bad"), run_id=2, trigger="cron", baseline=False)
+    got = {r.run_id: r for r in spark.read.schema(tables.RUN).parquet(path).collect()}
+    assert (got[1].documents, got[1].errors, got[1].error, got[1].baseline) == (10, 3, "", True) and got[1].started_at <= got[1].finished_at
+    assert got[2].documents is None and "no such page" in got[2].error and got[2].trigger == "cron"
+
+
+def test_files_of_several_ages(spark):
+    path, schema = tables.fresh_path(spark, "aged"), "id long, etag string, seen timestamp, n long"
+    assert tables.read_versions(spark, path, schema, {}).count() == 0
+    tables.append_version(spark.sql("select cast(1 as int) as id, 'gone' as old"), path, 1)
+    tables.append_version(spark.sql("select 2L as id, cast(null as string) as etag, date'2024-01-02' as seen"), path, 2)
+    tables.append_version(spark.sql("select 3000000000 as id, 'e' as etag, timestamp'2024-01-03 10:00:00' as seen, 5L as n"), path, 3)
+    out = tables.read_versions(spark, path, schema, {"etag": "", "n": 0})
+    assert out.schema.simpleString() == "struct<id:bigint,etag:string,seen:timestamp,n:bigint>"
+    got = {r.id: (r.etag, r.seen and r.seen.day, r.n) for r in out.collect()}
+    assert got == {1: ("", None, 0), 2: (None, 2, 0), 3000000000: ("e", 3, 5)}
+    tables.append_version(spark.sql("select '4' as id"), path, 4)
+    with pytest.raises(TypeError, match="id is string"):
+        tables.read_versions(spark, path, schema, {})
+
+
+def test_a_wide_walk_is_dealt_to_buckets(spark, monkeypatch):
+    """10,000 pages, by broadcast and by merging."""
+    edges = spark.range(1, 10_000).selectExpr("id div 8 as src", "id as dst").union(spark.range(1, 10_000, 7).selectExpr("id as src", "id div 8 as dst"))
+    root, closed = spark.createDataFrame([(0,)], "node long"), spark.createDataFrame([(3,)], "node long")
+    want = {0: 0}
+    for i in range(1, 10_000):
+        if i // 8 in want and i // 8 != 3:
+            want[i] = want[i // 8] + 1
+    for most in (100_000, 10):
+        monkeypatch.setattr(graph, "BROADCAST_NODES", most)
+        assert {r.node: r.depth for r in graph.bfs(graph.adjacency(edges, 8), root, closed).collect()} == want
+    table_ = graph.adjacency(edges, 8)
+    plan = table_.join(spark.range(9).selectExpr("id as src").repartition(8, "src").hint("merge"), "src", "left_semi")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 1, "links stay where they lie"
+
+
 def test_walk_ends_on_cycles(spark):
     edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (9, 8)], "src long, dst long")
     root, closed = spark.createDataFrame([(0,)], "node long"), spark.createDataFrame([(3,)], "node long")
