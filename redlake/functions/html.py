@@ -32,6 +32,8 @@ SILENT_TAGS = {"script", "style", "template"}
 #: An opening tag ends these that are open, up to the nearest of the others.
 IMPLIED_END = {"p": ({"p"}, {"td", "th", "li", "article", "div", "main", "body"}), "li": ({"li", "p"}, {"ul", "ol"}), "tr": ({"tr", "td", "th", "p"}, {"table"}), "td": ({"td", "th", "p"}, {"tr", "table"}), "th": ({"td", "th", "p"}, {"tr", "table"})}
 ENDS_PARAGRAPH = {"h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "table", "div", "article", "main", "nav", "footer", "section"}
+#: An end tag passes over open elements of at most its own rank; a higher one makes it a stray tag. Others have 100.
+END_RANK = {"div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190, "head": 200, "body": 200, "html": 220}
 
 
 class Node:
@@ -71,7 +73,7 @@ class Node:
 
 
 class _Tree(HTMLParser):
-    """A tree with the ends of p, li, tr and cells that HTML lets authors leave out."""
+    """A tree with the ends of p, li, tr and cells that HTML lets authors leave out; stray and crossed end tags end no cell, row or table around them."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -100,8 +102,10 @@ class _Tree(HTMLParser):
         self.at.children.append(Node(tag, {k: v or "" for k, v in attrs}, self.at))
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
+        node, rank = self.at, END_RANK.get(tag, 100)
         while node.parent is not None and node.name != tag:
+            if END_RANK.get(node.name, 100) > rank:
+                return
             node = node.parent
         if node.parent is not None:
             self.at = node.parent

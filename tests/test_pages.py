@@ -61,6 +61,38 @@ def test_generated_pages(spark):
         assert (r.semantic_text, r.normalized_html, r.root_tag, r.error) == (*pages[r.page_id][1:], "article", None)
 
 
+def shape(node):
+    return [c if isinstance(c, str) else (c.name, *shape(c)) for c in node.children]
+
+
+def test_broken_pages_have_the_tree_their_authors_meant():
+    for page, want in (
+        ("<p>a<p>b</p>c", [("p", "a"), ("p", "b"), "c"]),
+        ("<ul><li>a<li>b<p>c</ul>d", [("ul", ("li", "a"), ("li", "b", ("p", "c"))), "d"]),
+        ("<table><tr><td>a<td>b<tr><td>c</table>d", [("table", ("tr", ("td", "a"), ("td", "b")), ("tr", ("td", "c"))), "d"]),
+        ("<b><p>x</b>y</p>z", [("b", ("p", "x")), "yz"]),
+        ("<div><b>x</div>y</b>z", [("div", ("b", "x")), "yz"]),
+        ("<b><div>x</b>y</div>z", [("b", ("div", "xy"), "z")]),
+        ("<div><table><tr><td>a</div>b</td></tr></table>c</div>d", [("div", ("table", ("tr", ("td", "ab"))), "c"), "d"]),
+        ("<table><tr><td><span>a</table>b", [("table", ("tr", ("td", ("span", "a")))), "b"]),
+        ("<div><p>a</section></span>b</div>c", [("div", ("p", "ab")), "c"]),
+        ("a</p>b</table>c<br>d<br/>e", ["abc", ("br",), "d", ("br",), "e"]),
+        ("<table><tr><td><p>a<div>b</td><td>c</table>", [("table", ("tr", ("td", ("p", "a"), ("div", "b")), ("td", "c")))]),
+    ):
+        joined = lambda nodes: [(n[0], *joined(n[1:])) if isinstance(n, tuple) else n for n in merged(nodes)]
+        assert joined(shape(html.parse(page))) == want, page
+
+
+def merged(nodes):
+    out = []
+    for n in nodes:
+        if isinstance(n, str) and out and isinstance(out[-1], str):
+            out[-1] += n
+        else:
+            out.append(n)
+    return out
+
+
 def test_content_roots():
     text = lambda n: "t " * n
     inner = f'<div class="item-page"><div class="com-content-article__body">{text(9)}</div>{text(3)}</div>'
