@@ -106,12 +106,12 @@ def _groups(events: DataFrame, by: list[str], line: Column) -> DataFrame:
     return folded.withColumn("body", F.array_join(F.transform("rows", lambda r: r.line), "\n")).drop("rows")
 
 
-def change_digest(events: DataFrame, by: list[str], groups: int = MAX_GROUPS) -> DataFrame:
+def change_digest(events: DataFrame, by: list[str], groups: int = MAX_GROUPS, details: DataFrame | None = None) -> DataFrame:
     """(by, n_events, text): header with the number of events, the first groups, a line each event, an overflow line.
 
-    events has category, title, url and severity. Groups stand in order of their first events.
-    A recipient's groups are ranked by their keys before any text is gathered, and only the
-    first ones' texts are.
+    events has category, title, url and severity, or, with details (by id), only ids, kinds
+    and group keys. Groups stand in order of their first events. A recipient's groups are
+    ranked by their keys before any text is gathered, and only the first ones' texts are.
     """
     keys = [*by, "category", "document_id"]
     named = events.withColumn("category", group_key(F.col("category")))
@@ -123,6 +123,8 @@ def change_digest(events: DataFrame, by: list[str], groups: int = MAX_GROUPS) ->
     shown = sizes.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("first_id"))).where(F.col("rank") <= groups).select(*keys, "first_id", "added", "rank")
     same = [F.col(f"g.{c}").eqNullSafe(F.col(f"e.{c}")) for c in keys]
     some = named.alias("e").join(checked(written(shown, "shown")).alias("g"), same).select("e.*", "g.first_id", "g.added", "g.rank").where(told)
+    if details is not None:
+        some = some.join(details.select("id", "title", "url", "summary", "severity").hint("merge"), "id")
 
     link = F.coalesce(F.concat(F.lit(' · <a href="'), html_escape(F.col("url")), F.lit('">открыть</a>')), F.lit(""))
     line = F.concat(severity_icon(F.col("severity")), F.lit(" "), html_escape(F.substring("summary", 1, MAX_LINE)), F.lit(" <code>"), html_escape(F.col("kind")), F.lit("</code>"), link)
@@ -162,5 +164,9 @@ def error_digest(events: DataFrame, by: list[str], shown: int = MAX_GROUPS) -> D
 def outbox(events: DataFrame, documents: DataFrame, recipients: DataFrame, mutes: DataFrame, deliveries: DataFrame) -> DataFrame:
     """(chat_id, n_events, text): what each approved recipient is still to be told."""
     fresh = dedupe_fingerprint(ev.pending(ev.meaningful(events))).withColumn("severity", ev.severity(F.col("kind")))
-    pairs = fan_out(with_documents(fresh, documents), approved(recipients))
-    return change_digest(muted(undelivered(pairs, deliveries), mutes, "left_anti"), ["chat_id"])
+    fresh = written(with_documents(fresh, documents), "fresh")
+    keys = ["id", "kind", "category", "document_id"]
+    pairs = fan_out(fresh.select(*keys), approved(recipients))
+    # The product of events and recipients is made once, and of keys alone.
+    told = written(muted(undelivered(pairs, deliveries), mutes, "left_anti").select("chat_id", *keys), "told")
+    return change_digest(told, ["chat_id"], details=fresh)
