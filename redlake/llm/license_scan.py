@@ -24,6 +24,7 @@ SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GATE = (
     "licen", "gpl", "creative", "spdx", "mpl", "eupl", "cddl", "apache", "domain", "rights", "hereby", "unencumbered", "redistribution", "endorse", "verbatim", "prohibited", "proprietary",
     "copyright", "merchantability", "acknowledgement", "misrepresented", "liable", "reproduction", "invariant", "distribute", "beer", "openssl", "wtfpl",
+    "berkeley", "x consortium", "not evil", "php software", "cryptographic software",
 )
 #: "cc" is in too many words to be one; it has to be followed so.
 GATE_CC = r"cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+by"
@@ -105,6 +106,117 @@ SIGNATURES = (
     ("openssl", 4, "openssl", "this product includes software developed by the openssl project"),
     ("proprietary", 3, "prohibited", "unauthorized copying of this file via any medium is strictly prohibited"),
     ("proprietary", 3, "proprietary", "proprietary and confidential"),
+    # Grants and conditions in the texts of licenses.
+    ("apache-2.0", 4, "perpetual", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license"),
+    ("apache-2.0", 3, "perpetual", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable except as stated in this section patent license"),
+    ("apache-2.0", 4, "basis", "distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache-2.0", 3, "governing", "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", 3, "derivative", "you must give any other recipients of the work or derivative works a copy of this license"),
+    ("apache-1.1", 4, "apache", "the end user documentation included with the redistribution if any must include the following acknowledgment this product includes software developed by the apache software foundation"),
+    ("apache-1.1", 3, "endorse", "the names apache and apache software foundation must not be used to endorse or promote products derived from this software"),
+    ("mit", 3, "whom", "to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice"),
+    ("mit", 3, "sublicense", "without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", 3, "holders", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit-0", 4, "furnished", "sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so the software is provided as is"),
+    ("mit-cmu", 4, "permission", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("hpnd", 4, "appear", "provided that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation"),
+    ("isc", 3, "disclaims", "the software is provided as is and (the author|isc) disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("0bsd", 4, "purpose", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("bsd", 3, "contributors", "this software is provided by the copyright holders and contributors as is and any express or implied warranties"),
+    ("bsd", 3, "regents", "this software is provided by the regents and contributors as is and any express or implied warranties"),
+    ("bsd", 2, "procurement", "liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services"),
+    ("bsd-3-clause", 3, "university", "neither the name of the university nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-3-clause", 3, "endorse", "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3-clause-clear", 4, "patent", "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-4-clause", 3, "berkeley", "this product includes software developed by the university of california berkeley and its contributors"),
+    ("bsd", 3, "bsd", "use of this source code is governed by a bsd style license that can be found in the license file"),
+    ("zlib", 3, "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("curl", 4, "holder", "except as contained in this notice the name of a copyright holder shall not be used in advertising or otherwise to promote the sale use or other dealings"),
+    ("x11", 4, "consortium", "except as contained in this notice the name of the x consortium shall not be used in advertising"),
+    ("json", 4, "evil", "the software shall be used for good not evil"),
+    ("unlicense", 3, "relinquishment", "we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software"),
+    ("unlicense", 3, "dedicate", "the author or authors of this software dedicate any and all copyright interest in the software to the public domain"),
+    ("wtfpl", 3, "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("gpl-3.0", 4, "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-3.0", 3, "convey", "you may convey verbatim copies of the program s source code as you receive it in any medium"),
+    ("gpl-2.0", 3, "verbatim", "you may copy and distribute verbatim copies of the program s source code as you receive it in any medium"),
+    ("gpl-2.0", 3, "distribute", "you must cause any work that you distribute or publish that in whole or in part contains or is derived from the program"),
+    ("gpl-2.0", 3, "temple", "write to the free software foundation inc 59 temple place suite 330 boston ma 02111 1307 usa gnu general public license"),
+    ("gpl", 3, "hope", "this (program|library|software) is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability"),
+    ("gpl", 3, "details", "see the gnu general public license for more details"),
+    ("lgpl", 3, "details", "see the gnu (lesser|library) general public license for more details"),
+    ("agpl", 3, "details", "see the gnu affero general public license for more details"),
+    ("gpl", 3, "general", "under the terms of the gnu general public license"),
+    ("lgpl", 3, "lesser", "under the terms of the gnu lesser general public license"),
+    ("agpl", 3, "affero", "under the terms of the gnu affero general public license"),
+    ("lgpl-2.1", 4, "lesser", "this license the lesser general public license applies to some specially designated software packages typically libraries"),
+    ("lgpl-3.0", 4, "lesser", "this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license"),
+    ("lgpl-2.0-or-later", 4, "library", "under the terms of the gnu library general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3.0-with-gcc-exception", 4, "runtime", "under section 7 of gpl version 3 you are granted additional permissions described in the gcc runtime library exception"),
+    ("gpl-2.0-with-linux-syscall-note", 4, "kernel", "this copyright does not cover user programs that use kernel services by normal system calls"),
+    ("gfdl", 4, "document", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gfdl", 3, "manual", "the purpose of this license is to make a manual textbook or other functional and useful document free in the sense of freedom"),
+    ("mpl-2.0", 3, "incompatible", "this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl-2.0", 3, "intellectual", "each contributor hereby grants you a world wide royalty free non exclusive license under intellectual property rights other than patent or trademark licensable by such contributor"),
+    ("mpl-1.1", 3, "alternatively", "alternatively the contents of this file may be used under the terms of either the gnu general public license version 2 or later"),
+    ("mpl-1.0", 4, "contents", "the contents of this file are subject to the netscape public license version 1"),
+    ("epl-2.0", 3, "accompanying", "the accompanying program is provided under the terms of this eclipse public license agreement any use reproduction or distribution of the program"),
+    ("cpl-1.0", 4, "common", "the accompanying program is provided under the terms of this common public license agreement any use reproduction or distribution"),
+    ("ipl-1.0", 4, "ibm", "the accompanying program is provided under the terms of this ibm public license agreement any use reproduction or distribution"),
+    ("cddl-1.0", 3, "opensource", "you can obtain a copy of the license at (http|https) www opensource org licenses cddl1 php"),
+    ("cddl-1.1", 4, "glassfish", "you can obtain a copy of the license at (http|https) glassfish dev java net public cddl gpl html"),
+    ("eupl", 4, "eupl", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission subsequent versions of the eupl"),
+    ("osl-3.0", 4, "open", "licensed under the open software license version 3 0"),
+    ("afl-3.0", 4, "academic", "licensed under the academic free license version 3 0"),
+    ("artistic-1.0", 4, "artistic", "the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control"),
+    ("artistic-2.0", 3, "redistributed", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed"),
+    ("perl", 4, "perl", "you can redistribute it and or modify it under the same terms as perl itself this is licensed"),
+    ("ruby", 4, "restriction", "you may make and give away verbatim copies of the source form of the software without restriction provided that you duplicate all of the original copyright notices"),
+    ("php-3.01", 4, "php", "this product includes php software freely available from (http|https) www php net software"),
+    ("php-3.01", 3, "php", "this source file is subject to version 3 01 of the php license"),
+    ("php-3.0", 3, "php", "this source file is subject to version 3 0 of the php license"),
+    ("openssl", 3, "cryptographic", "this product includes cryptographic software written by eric young"),
+    ("openssl", 3, "toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("psf-2.0", 3, "psf", "psf hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform and or display publicly"),
+    ("cnri-python", 4, "cnri", "cnri hereby grants licensee a nonexclusive royalty free world wide license to reproduce analyze test perform"),
+    ("zpl-2.1", 3, "zope", "this software is subject to the provisions of the zope public license version 2 1"),
+    ("w3c", 4, "copyright", "this work is being provided by the copyright holders under the following license by obtaining using and or copying this work"),
+    ("unicode-dfs", 4, "unicode", "permission is hereby granted free of charge to any person obtaining a copy of the unicode data files and any associated documentation"),
+    ("icu", 4, "icu", "permission is hereby granted free of charge to any person obtaining a copy of this software the icu license"),
+    ("ofl-1.1", 3, "reserved", "no modified version of the font software may use the reserved font name s unless explicit written permission is granted by the corresponding copyright holder"),
+    ("ofl-1.1", 3, "bundled", "original or modified versions of the font software may be bundled redistributed and or sold with any software provided that each copy contains the above copyright notice and this license"),
+    ("odbl-1.0", 3, "database", "any rights in individual contents of the database are licensed under the database contents license"),
+    ("odc-by-1.0", 4, "attribution", "open data commons attribution license"),
+    ("pddl-1.0", 4, "dedication", "open data commons public domain dedication and license"),
+    ("upl-1.0", 3, "larger", "the larger works to which the software is contributed by such licensors"),
+    ("mulan-2.0", 3, "mulan", "you can use this software according to the terms and conditions of the mulan psl v2 you may obtain a copy of mulan psl v2 license at"),
+    ("ms-pl", 4, "microsoft", "microsoft public license ms pl"),
+    ("ms-rl", 4, "microsoft", "microsoft reciprocal license ms rl"),
+    ("ms-pl", 3, "accept", "if you use the software you accept this license if you do not accept the license do not use the software"),
+    ("sspl-1.0", 4, "server", "server side public license"),
+    ("sspl-1.0", 3, "service", "if you make the functionality of the program or a modified version available to third parties as a service you must make the service source code available via network download to everyone at no charge under the terms of this license"),
+    ("busl-1.1", 4, "business", "business source license 1 1"),
+    ("busl-1.1", 3, "production", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work"),
+    ("elastic-2.0", 4, "elastic", "elastic license (v|version)? 2 0"),
+    ("elastic-2.0", 3, "hosted", "you may not provide the software to third parties as a hosted or managed service where the service provides users with access to any substantial set of the features or functionality of the software licensor"),
+    ("commons-clause", 4, "commons", "commons clause license condition"),
+    ("polyform-noncommercial-1.0", 4, "polyform", "polyform noncommercial license 1 0 0"),
+    ("cc0-1.0", 3, "unconditionally", "to the greatest extent permitted by but not in contravention of applicable law affirmer hereby overtly fully permanently irrevocably and unconditionally waives abandons and surrenders all of affirmer s copyright"),
+    ("cc", 3, "exercising", "by exercising the licensed rights you accept and agree to be bound by the terms and conditions of this creative commons"),
+    ("cc", 3, "creativecommons", "to view a copy of this license visit (http|https) creativecommons org licenses"),
+    ("cc-by", 3, "licenses", "creativecommons org licenses by 4 0"),
+    ("cc-by-sa", 3, "licenses", "creativecommons org licenses by sa 4 0"),
+    ("cc-by-nc", 3, "licenses", "creativecommons org licenses by nc 4 0"),
+    ("cc-by-sa", 3, "licenses", "creativecommons org licenses by sa 3 0"),
+    ("public-domain", 3, "dedicated", "this work has been dedicated to the public domain by waiving all rights"),
+    ("public-domain", 3, "government", "this is a work of the united states government and is not subject to copyright protection in the united states"),
+    ("crown-copyright", 4, "government", "licensed under the open government licence v3 0"),
+    ("ogl-3.0", 4, "sector", "contains public sector information licensed under the open government licence"),
+    ("proprietary", 3, "disclose", "you shall not disclose such confidential information and shall use it only in accordance with the terms of the license agreement"),
+    ("proprietary", 3, "software", "this software is licensed not sold"),
+    ("proprietary", 3, "reverse", "you may not reverse engineer decompile or disassemble the (software|product) copyright"),
+    ("proprietary", 3, "unpublished", "unpublished rights reserved under the copyright laws of the united states"),
+    ("proprietary", 3, "trade", "this (software|file|document) contains (confidential|proprietary) information and trade secrets copyright"),
 )
 
 
