@@ -47,6 +47,6 @@ def test_runs(spark, name):
 
 def test_no_python_in_checked_queries(spark):
     """What SQL can say runs without Python on the executors; streams with own state, folds in order, bytes of the store, pages and dot segments are the exceptions."""
-    for name in set(registry.oracle_sql()) - {"stream_change_detect", "stream_presence", "stream_dedupe", "stream_deliver_once", "quota_admission", "throttle_notice", "page_title", "page_links", "fn_url_join"}:
+    for name in set(registry.oracle_sql()) - {"stream_change_detect", "stream_presence", "stream_dedupe", "stream_deliver_once", "quota_admission", "throttle_notice", "page_title", "page_category", "page_links", "content_root", "fn_url_join"}:
         plan = registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Arrow" not in plan and "InPandas" not in plan, name
