@@ -11,7 +11,7 @@ from redlake.sources.tables import fresh_path, written
 
 MAX_ROUNDS = 1000
 MAX_NODES = 10_000_000_000
-#: A catalogue of more pages than this is taken for a trap.
+#: A catalogue that is crawled and has more pages than this is taken for a trap.
 MAX_PAGES = 10_000
 
 
@@ -28,6 +28,11 @@ def adjacency(edges: DataFrame, buckets: int | None = None) -> DataFrame:
     return spark.table(name)
 
 
+def _few(df: DataFrame, n: int) -> DataFrame:
+    """df, counted as n nodes, for a join."""
+    return F.broadcast(df) if n <= BROADCAST_NODES else df.hint("merge")
+
+
 def bfs(edges: DataFrame, roots: DataFrame, closed: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
     """(node, depth): what edges (src, dst) reach from roots; closed nodes are reached but not expanded.
 
@@ -37,16 +42,15 @@ def bfs(edges: DataFrame, roots: DataFrame, closed: DataFrame, max_nodes: int =
     new nodes. A larger frontier is dealt to the buckets of an `adjacency`, whose links stay
     where they are. More than max_nodes is an error.
     """
-    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_NODES else df.hint("merge")
     closed = written(closed.select("node").distinct(), "closed")
-    closed = few(closed, closed.limit(BROADCAST_NODES + 1).count())
+    closed = _few(closed, closed.limit(BROADCAST_NODES + 1).count())
     frontier = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
     seen, total = frontier, frontier.count()
     n = total
     for depth in range(1, MAX_ROUNDS):
         open_ = frontier.join(closed, "node", "left_anti").select(F.col("node").alias("src"))
-        found = edges.join(few(open_, n), "src", "left_semi").select(F.col("dst").alias("node"))
-        frontier = written(found.join(few(seen.select("node"), total), "node", "left_anti").distinct().withColumn("depth", F.lit(depth)), "frontier")
+        found = edges.join(_few(open_, n), "src", "left_semi").select(F.col("dst").alias("node"))
+        frontier = written(found.join(_few(seen.select("node"), total), "node", "left_anti").distinct().withColumn("depth", F.lit(depth)), "frontier")
         n = frontier.count()
         if not n:
             break
@@ -59,14 +63,15 @@ def bfs(edges: DataFrame, roots: DataFrame, closed: DataFrame, max_nodes: int =
     return seen
 
 
-def discover(links: DataFrame, roots: DataFrame, muted: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
+def discover(links: DataFrame, roots: DataFrame, muted: DataFrame, max_pages: int | None = MAX_PAGES) -> DataFrame:
     """(node): the documents that links (src, dst, is_document) lead to from roots.
 
     Other pages are walked through; what muted pages link to is neither walked nor a
-    document. Documents are leaves. More than max_pages pages are an error, so pages are
-    broadcast.
+    document. Documents are leaves. More than max_pages pages are an error; None is for
+    links of a stored table, which has an end.
     """
     links = adjacency(links)
-    pages = bfs(links.where("not is_document").select("src", "dst"), roots, muted, max_pages)
-    open_ = pages.join(muted.hint("merge"), "node", "left_anti").select(F.col("node").alias("src"))
-    return links.where("is_document").join(F.broadcast(written(open_, "open")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+    pages = bfs(links.where("not is_document").select("src", "dst"), roots, muted, max_pages or MAX_NODES)
+    open_ = written(pages.join(muted.hint("merge"), "node", "left_anti").select(F.col("node").alias("src")), "open")
+    open_ = _few(open_, open_.limit(BROADCAST_NODES + 1).count())
+    return links.where("is_document").join(open_, "src", "left_semi").select(F.col("dst").alias("node")).distinct()
